@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlink.llm import mixing, sharding
+from ledgerlink.llm import licenses, mixing, quality, sharding
 from ledgerlink.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
@@ -16,8 +20,13 @@ def op3_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_source_mixing, op3_virtual_slot_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_virtual_slot_sharding, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
