@@ -96,3 +96,75 @@ def permuted(x: Column, n: Column, a: Column, b: Column, *key: Column, rounds: i
         return F.when(v < n, v).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), a), v, step))
 
     return bind(network(x.cast("long")), walk)
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound what a Python worker gets at once by bytes, for tables with very long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def grouped(batches, keys: list[str]):
+    """From record batches sorted by keys: (table, starts), whole groups only.
+
+    starts[i]:starts[i+1] are the rows of group i. Rows of a group that goes on
+    in the next batch wait for it.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def bounds(t):
+        new = np.zeros(t.num_rows, bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        new[:1] = True
+        return np.append(np.flatnonzero(new), t.num_rows)
+
+    waiting = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+        first = tuple(batch.column(k)[0].as_py() for k in keys)
+        waiting.append(batch)
+        if key == last == first:
+            continue
+        last = key
+        t = pa.Table.from_batches(waiting)
+        starts = bounds(t)
+        if len(starts) > 2:
+            yield t.slice(0, starts[-2]), starts[:-1]
+        waiting = t.slice(starts[-2]).combine_chunks().to_batches()
+    if waiting:
+        t = pa.Table.from_batches(waiting)
+        yield t, bounds(t)
+
+
+def components(edges: DataFrame, limit: int = 50) -> DataFrame:
+    """node, root: the smallest node reachable by edges (a, b), for every node of an edge.
+
+    Alternating large-star and small-star steps, each a groupBy and an equi-join;
+    every round is written to the shared folder. Nothing is gathered on the driver.
+    """
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        near = both.join(low, F.col("u") == F.col("w"))
+        if large:
+            out = near.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        else:
+            out = near.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("w").alias("a"), F.col("m").alias("b")))
+        return out.filter("a != b").distinct()
+
+    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    now = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    was = mark(now)
+    for _ in range(limit):
+        now = cut(star(star(now, True), False), "edges")
+        is_ = mark(now)
+        if is_ == was:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        was = is_
+    raise RuntimeError(f"components did not settle in {limit} rounds")
