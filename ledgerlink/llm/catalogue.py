@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlink.llm import jaccard, licenses, mixing, quality, sharding
+from ledgerlink.llm import decontaminate, jaccard, licenses, mixing, quality, sharding, toxicity
 from ledgerlink.llm.common import table
 
 
@@ -29,8 +29,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_virtual_slot_sharding, op4_ngram_jaccard_join, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_virtual_slot_sharding, op4_ngram_jaccard_join, op5_quality_rules, op9_benchmark_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
