@@ -6,7 +6,8 @@ them in a partner has as its prefix the first tokens among which no d losses
 leave every signature broken. A rare token is a signature of its own. Frequent
 tokens fall into a few classes, and within a class every two of them together
 are a signature; a class of c tokens breaks after c - 1 losses, so the prefix
-is extended by one token a class. Nodes under one signature form a block with
+is extended by one token a class. Signatures are kept apart by size, in bands
+that linked sets share or neighbour. Nodes under one signature form a block with
 the smallest of them, blocks are cut into chunks, pairs of chunks are
 candidates; parity sketches, which bound the sets' difference from below, thin
 them, and the sets themselves decide.
@@ -14,15 +15,17 @@ them, and the sets themselves decide.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.llm.common import bind, bounded_batches, components, cut, grouped, small, words
 
 #: A token in more prefixes than this is frequent.
-FREQUENT = 24
+FREQUENT = 2
 #: Classes of frequent tokens.
-CLASSES = 3
+CLASSES = 4
 #: A chunk of a block: about so many nodes, and so many tokens.
 CHUNK_NODES, CHUNK_TOKENS = 512, 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,22 +51,26 @@ def _missable(n: Column, num: int, den: int) -> Column:
     return n - F.floor((n * num + den - 1) / den).cast("int")
 
 
-def _sketched(batches):
-    """(node, n, set) to (node, n, data, sketch): the parity of tokens by their low bits."""
-    import numpy as np
-    import pyarrow as pa
+def _packed(sketch: bool):
+    """(node, n, set) to (node, n, data): the set's hashes, or their sketch, the parity of tokens by low bits."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    for batch in batches:
-        sets = batch.column("set")
-        values, offsets = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *np.diff(sets.offsets.to_numpy())])
-        data, sketch = [], []
-        for i in range(batch.num_rows):
-            v = values[offsets[i] : offsets[i + 1]]
-            width = max(64, 1 << (max(len(v) - 1, 1)).bit_length())
-            odd = np.bincount(v & (width - 1), minlength=width) & 1
-            data.append(v.tobytes())
-            sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(data, pa.binary()), pa.array(sketch, pa.binary())], ["node", "n", "data", "sketch"])
+        for batch in batches:
+            sets = batch.column("set")
+            values, offsets = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *np.diff(sets.offsets.to_numpy())])
+            data = []
+            for i in range(batch.num_rows):
+                v = values[offsets[i] : offsets[i + 1]]
+                if sketch:
+                    width = max(64, 1 << (max(len(v) - 1, 1)).bit_length())
+                    v = np.packbits((np.bincount(v & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little")
+                data.append(v.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(data, pa.binary())], ["node", "n", "data"])
+
+    return run
 
 
 def _folded(sketch: bytes, size: int):
@@ -117,9 +124,9 @@ def _thinned(num: int, den: int):
         import numpy as np
         import pyarrow as pa
 
-        for ids, node, n, more in _units(batches, ["sketch"]):
+        for ids, node, n, more in _units(batches, ["data"]):
             keep = np.zeros(len(node), bool)
-            for i, to in _near(n, more["sketch"], num, den):
+            for i, to in _near(n, more["data"], num, den):
                 keep[i] = keep[to] = True
             if k := int(keep.sum()):
                 yield pa.RecordBatch.from_arrays([*[pa.array(np.full(k, x), t) for x, t in zip(ids, (pa.int64(), pa.int32(), pa.int32()))], pa.array(node[keep])], ["leader", "lo", "hi", "node"])
@@ -211,7 +218,10 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     kept = F.filter("hits", lambda x: x["pos"] < F.col("end"))
     hits = hits.select("node", "n", F.transform(F.filter(kept, lambda x: ~x["many"]), lambda x: x["token"]).alias("single"), F.transform(F.filter(kept, lambda x: x["many"]), lambda x: F.struct(x["token"].alias("t"), class_of(x["token"]).alias("c"))).alias("many"))
     pairs = bind(F.col("many"), lambda a: F.flatten(F.transform(a, lambda x, i: F.transform(F.filter(F.slice(a, i + 2, F.greatest(F.size(a) - i - 1, F.lit(0))), lambda y: y["c"] == x["c"]), lambda y: F.xxhash64(x["t"], y["t"])))))
-    signed = cut(hits.select("node", "n", F.explode(F.concat("single", pairs)).alias("sig")), "jaccard-signed")
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(den / num)))
+    hits = hits.select("node", "n", band.alias("band"), F.explode(F.concat("single", pairs)).alias("base"))
+    signed = hits.select("node", "n", F.explode(F.array(F.xxhash64("base", F.col("band")), F.xxhash64("base", F.col("band") + 1))).alias("sig"))
+    signed = cut(signed, "jaccard-signed")
 
     # Blocks: under a signature, all go with the smallest node.
     leaders = signed.groupBy("sig").agg(F.min("node").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
@@ -222,18 +232,18 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("mine")))
     blocks = blocks.withColumn("mine", mine).withColumn("other", F.explode(others)).select("leader", F.least("mine", other).alias("lo"), F.greatest("mine", other).alias("hi"), "node")
 
-    # Sets of the candidates, from their texts.
-    wanted = nodes.join(blocks.select("node").distinct(), "node", "left_semi").select("node", F.col("rep"), F.col("k1").alias("q1"), F.col("k2").alias("q2"))
-    wanted = cut(wanted, "jaccard-wanted")
-    texts = docs.select("doc_id", "text").join(small(wanted, 48), F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = texts.select("node", "q1", "q2", shingle_set(F.col("text"), k).alias("set")).filter((F.xxhash64("set") == F.col("q1")) & (F.hash("set") == F.col("q2")))
-    sets = cut(sets.select("node", n.alias("n"), "set").mapInArrow(_sketched, "node long, n int, data binary, sketch binary"), "jaccard-sets")
+    # Sketches thin the candidates, sets decide; both come from the candidates' texts.
+    def of(wanted: DataFrame, sketch: bool) -> DataFrame:
+        keys = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "rep", F.col("k1").alias("q1"), F.col("k2").alias("q2"))
+        keys = small(cut(keys, "jaccard-wanted"), 48)
+        sets = docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "q1", "q2", shingle_set(F.col("text"), k).alias("set"))
+        sets = sets.filter((F.xxhash64("set") == F.col("q1")) & (F.hash("set") == F.col("q2"))).select("node", n.alias("n"), "set")
+        sets = cut(sets.mapInArrow(_packed(sketch), "node long, n int, data binary"), "jaccard-sketches" if sketch else "jaccard-sets")
+        return wanted.join(sets, "node").repartition(*unit).sortWithinPartitions(*unit).select(*unit, "node", "n", "data")
 
     unit = ["leader", "lo", "hi"]
-    thin = blocks.join(sets.select("node", "n", "sketch"), "node").repartition(*unit).sortWithinPartitions(*unit)
-    thin = cut(thin.select(*unit, "node", "n", "sketch").mapInArrow(_thinned(num, den), "leader long, lo int, hi int, node long"), "jaccard-thinned")
-    full = thin.join(sets.select("node", "n", "data"), "node").repartition(*unit).sortWithinPartitions(*unit)
-    edges = full.select(*unit, "node", "n", "data").mapInArrow(_linked(num, den), "a long, b long")
+    thin = cut(of(blocks, True).mapInArrow(_thinned(num, den), "leader long, lo int, hi int, node long"), "jaccard-thinned")
+    edges = of(thin, False).mapInArrow(_linked(num, den), "a long, b long")
 
     # Classes.
     roots = components(edges)
