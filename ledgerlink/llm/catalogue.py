@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlink.llm import decontaminate, jaccard, licenses, mixing, quality, sharding, suffixes, toxicity, warc
+from ledgerlink.llm import decontaminate, jaccard, licenses, mixing, quality, sharding, suffixes, tokens, toxicity, warc
 from ledgerlink.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.materialise(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_virtual_slot_sharding, op4_ngram_jaccard_join, op5_quality_rules, op7_suffix_array_dedup, op8_warc_round_trip, op9_benchmark_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_source_mixing, op3_virtual_slot_sharding, op4_ngram_jaccard_join, op5_quality_rules, op6_token_shards, op7_suffix_array_dedup, op8_warc_round_trip, op9_benchmark_decontamination, op10_toxicity)}
 
 
 OP8_SQL = """

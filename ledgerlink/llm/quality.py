@@ -137,20 +137,21 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float =
     return best.select("stratum", "rule", "b.*")
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL, kept: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: features, base_failed, kept, and failed_rules (names, null if none).
 
     The stratum is a column of docs; null is a stratum of its own. A stratum
     with too few labelled good documents for any guarantee gets no cutoff: the
-    base rule alone decides there. Repeated rows are judged alike, each.
+    base rule alone decides there. Repeated rows are judged alike, each. kept:
+    more columns of docs to return.
     """
     # Only labels decide cutoffs; all documents are measured once, in a narrow table.
-    measured = cut(features(docs, *([stratum] if stratum != "doc_id" else [])), "quality-features")
+    measured = cut(features(docs, stratum, *kept), "quality-features")
     chosen = cutoffs(measured, labels, stratum, risk, level)
     wide = cut(chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in GRID]), "quality-cutoffs")
     joined = measured.join(small(wide, 200), F.col(stratum).eqNullSafe(F.col("stratum")), "left")
     looks = ratios()
     failed = F.filter(F.array(*[F.when(looks[r] > F.col(f"_{r}"), F.lit(r)) for r in GRID]), lambda x: x.isNotNull())
     joined = joined.withColumn("failed_rules", F.nullif(F.array_join(failed, ","), F.lit("")))
-    kept = ~F.col("base_failed") & F.col("failed_rules").isNull()
-    return joined.withColumn("kept", kept).drop("stratum", *[f"_{r}" for r in GRID])
+    passed = ~F.col("base_failed") & F.col("failed_rules").isNull()
+    return joined.withColumn("kept", passed).drop("stratum", *[f"_{r}" for r in GRID])
