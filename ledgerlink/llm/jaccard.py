@@ -4,10 +4,11 @@ Documents with equal shingle sets are one node. Nodes that link share a
 signature: with tokens in one global order, a set of n tokens that may miss d of
 them in a partner has as its prefix the first tokens among which no d losses
 leave every signature broken. A rare token is a signature of its own. Frequent
-tokens fall into a few classes, and within a class every two of them together
-are a signature; a class of c tokens breaks after c - 1 losses, so the prefix
-is extended by one token a class. Signatures are kept apart by size, in bands
-that linked sets share or neighbour. Nodes under one signature form a block with
+tokens fall into classes, and within a class every two of them together are a
+signature; a class of c tokens breaks after c - 1 losses, so the prefix is
+extended by one token a class. Signatures are kept apart by size, in bands that
+linked sets share or neighbour; larger bands have more classes, so that a set's
+signatures grow as its size. Nodes under one signature form a block with
 the smallest of them, blocks are cut into chunks, pairs of chunks are
 candidates; parity sketches, which bound the sets' difference from below, thin
 them, and the sets themselves decide.
@@ -24,8 +25,8 @@ from ledgerlink.llm.common import bind, bounded_batches, components, cut, groupe
 
 #: A token in more prefixes than this is frequent.
 FREQUENT = 2
-#: Classes of frequent tokens.
-CLASSES = 4
+#: A set that may miss d tokens has one class of frequent tokens for so many of d.
+CLASS_TOKENS = 6
 #: A chunk of a block: about so many nodes, and so many tokens.
 CHUNK_NODES, CHUNK_TOKENS = 512, 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,15 +53,23 @@ def _missable(n: Column, num: int, den: int) -> Column:
 
 
 def _packed(sketch: bool):
-    """(node, n, set) to (node, n, data): the set's hashes, or their sketch, the parity of tokens by low bits."""
+    """(node, q1, q2, set, k1, k2) to (node, n, data): the set's hashes, or their sketch, the parity of tokens by low bits.
+
+    Rows whose set is not the wanted one (another text of that doc_id) drop out
+    here: as a filter the keys would be join keys, hashed for every document.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
+            own = np.ones(batch.num_rows, bool)
+            for key, wanted in (("k1", "q1"), ("k2", "q2")):
+                own &= batch.column(key).to_numpy() == batch.column(wanted).to_numpy()
+            batch = batch.filter(pa.array(own))
             sets = batch.column("set")
-            values, offsets = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *np.diff(sets.offsets.to_numpy())])
+            values, offsets = sets.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *np.diff(sets.offsets.to_numpy())]).astype(np.int64)
             data = []
             for i in range(batch.num_rows):
                 v = values[offsets[i] : offsets[i + 1]]
@@ -68,7 +77,7 @@ def _packed(sketch: bool):
                     width = max(64, 1 << (max(len(v) - 1, 1)).bit_length())
                     v = np.packbits((np.bincount(v & (width - 1), minlength=width) & 1).astype(np.uint8), bitorder="little")
                 data.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(data, pa.binary())], ["node", "n", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.diff(offsets), pa.int32()), pa.array(data, pa.binary())], ["node", "n", "data"])
 
     return run
 
@@ -202,8 +211,11 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     spark = docs.sparkSession
     bounded_batches(spark)
     missable, n = _missable(F.col("n"), num, den), F.size("set")
+    width = 1.0001 * math.log(den / num)
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    classes = lambda b: F.greatest(F.lit(1), F.ceil(F.exp(b * F.lit(width)) * (1 - num / den) / CLASS_TOKENS).cast("int"))
     hashed = docs.select("doc_id", shingle_set(F.col("text"), k).alias("set")).select("doc_id", n.alias("n"), F.xxhash64("set").alias("k1"), F.hash("set").alias("k2"), "set")
-    hashed = hashed.select("doc_id", "n", "k1", "k2", F.when(F.col("n") > 0, F.slice("set", 1, missable + 1 + CLASSES)).alias("prefix"), F.monotonically_increasing_id().alias("rid"))
+    hashed = hashed.select("doc_id", "n", "k1", "k2", F.when(F.col("n") > 0, F.slice("set", 1, missable + 1 + classes(band + 1))).alias("prefix"), F.monotonically_increasing_id().alias("rid"))
     rows = cut(hashed, "jaccard-rows")
     nodes = cut(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("node"), F.min("doc_id").alias("rep")), "jaccard-nodes")
 
@@ -212,16 +224,14 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     posted = own.select(F.col("rid").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
     often = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     hits = posted.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("token", "pos", (F.col("df") > FREQUENT).alias("many")))).alias("hits"))
-    class_of = lambda token: F.pmod(F.xxhash64(token), F.lit(CLASSES))
-    many = F.filter("hits", lambda x: x["many"])
-    hits = hits.withColumn("end", missable + 1 + F.size(F.array_distinct(F.transform(many, lambda x: class_of(x["token"])))))
-    kept = F.filter("hits", lambda x: x["pos"] < F.col("end"))
-    hits = hits.select("node", "n", F.transform(F.filter(kept, lambda x: ~x["many"]), lambda x: x["token"]).alias("single"), F.transform(F.filter(kept, lambda x: x["many"]), lambda x: F.struct(x["token"].alias("t"), class_of(x["token"]).alias("c"))).alias("many"))
-    pairs = bind(F.col("many"), lambda a: F.flatten(F.transform(a, lambda x, i: F.transform(F.filter(F.slice(a, i + 2, F.greatest(F.size(a) - i - 1, F.lit(0))), lambda y: y["c"] == x["c"]), lambda y: F.xxhash64(x["t"], y["t"])))))
-    band = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(den / num)))
-    hits = hits.select("node", "n", band.alias("band"), F.explode(F.concat("single", pairs)).alias("base"))
-    signed = hits.select("node", "n", F.explode(F.array(F.xxhash64("base", F.col("band")), F.xxhash64("base", F.col("band") + 1))).alias("sig"))
-    signed = cut(signed, "jaccard-signed")
+    hits = hits.select("node", "n", "hits", F.explode(F.array(band, band + 1)).alias("band")).withColumn("classes", classes(F.col("band")))
+    class_of = lambda token: F.pmod(F.xxhash64(token), F.col("classes"))
+    frequent = F.transform(F.filter("hits", lambda x: x["many"]), lambda x: F.struct(class_of(x["token"]).alias("c"), x["token"].alias("t"), x["pos"].alias("pos")))
+    hits = hits.withColumn("frequent", F.sort_array(frequent)).withColumn("end", missable + 1 + F.size(F.array_distinct(F.transform("frequent", lambda x: x["c"]))))
+    single = F.transform(F.filter("hits", lambda x: ~x["many"] & (x["pos"] < F.col("end"))), lambda x: F.xxhash64(x["token"], F.col("band")))
+    later = lambda a, x, i: F.filter(F.slice(a, i + 2, F.greatest(F.size(a) - i - 1, F.lit(0))), lambda y: y["c"] == x["c"])
+    pairs = bind(F.filter("frequent", lambda x: x["pos"] < F.col("end")), lambda a: F.flatten(F.transform(a, lambda x, i: F.transform(later(a, x, i), lambda y: F.xxhash64(x["t"], y["t"], F.col("band"))))))
+    signed = cut(hits.select("node", "n", F.explode(F.concat(single, pairs)).alias("sig")), "jaccard-signed")
 
     # Blocks: under a signature, all go with the smallest node.
     leaders = signed.groupBy("sig").agg(F.min("node").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
@@ -237,7 +247,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
         keys = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "rep", F.col("k1").alias("q1"), F.col("k2").alias("q2"))
         keys = small(cut(keys, "jaccard-wanted"), 48)
         sets = docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "q1", "q2", shingle_set(F.col("text"), k).alias("set"))
-        sets = sets.filter((F.xxhash64("set") == F.col("q1")) & (F.hash("set") == F.col("q2"))).select("node", n.alias("n"), "set")
+        sets = sets.select("node", "q1", "q2", "set", F.xxhash64("set").alias("k1"), F.hash("set").alias("k2"))
         sets = cut(sets.mapInArrow(_packed(sketch), "node long, n int, data binary"), "jaccard-sketches" if sketch else "jaccard-sets")
         return wanted.join(sets, "node").repartition(*unit).sortWithinPartitions(*unit).select(*unit, "node", "n", "data")
 
