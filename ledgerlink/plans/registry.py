@@ -1,4 +1,4 @@
-"""Catalogue of registry-graph queries: name -> (DataFrame builder, SQL twin)."""
+"""Catalogue of registry-graph queries: name -> (DataFrame builder, SQL twin or None)."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlink.plans import etl, graph, search, text
+
 Query = Callable[[SparkSession, str], DataFrame]
+ALL: dict[str, tuple[Query, str | None]] = {**graph.QUERIES, **search.QUERIES, **text.QUERIES, **etl.QUERIES}
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for name, (q, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
