@@ -56,7 +56,8 @@ def release_stale(tasks: DataFrame, now: str, older_seconds: int) -> DataFrame:
     """tasks with running ones locked before now - older_seconds pending again."""
     cutoff = F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(older_seconds))
     stale = (F.col("status") == "running") & (F.col("locked_at") < cutoff)
-    return tasks.withColumn("status", F.when(stale, "pending").otherwise(F.col("status"))).withColumn("locked_at", F.when(stale, None).otherwise(F.col("locked_at")))
+    made = {"status": F.when(stale, "pending").otherwise(F.col("status")), "locked_at": F.when(~stale, F.col("locked_at"))}
+    return tasks.select(*[made[c].alias(c) if c in made else F.col(c) for c in tasks.columns])
 
 
 def queue_stats(tasks: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlink.workspace import folder
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 VIEWS: dict[str, str] = {
@@ -83,13 +85,18 @@ VIEWS: dict[str, str] = {
 }
 
 
-def needed(sql: str) -> list[str]:
-    """The views a statement needs, directly or through others, in the order of VIEWS."""
+#: Views that many queries share: written once for each data set, then read.
+STORED = ("relationships", "entities", "degrees", "provenance")
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def needed(sql: str, stored: tuple[str, ...] = ()) -> list[str]:
+    """The views a statement needs, directly or through others that are not stored, in the order of VIEWS."""
     found: set[str] = set()
 
     def add(text: str) -> None:
         for v in VIEWS:
-            if v not in found and re.search(rf"\b{v}\b", text):
+            if v not in found and v not in stored and re.search(rf"\b{v}\b", text):
                 found.add(v)
                 add(VIEWS[v])
 
@@ -97,9 +104,9 @@ def needed(sql: str) -> list[str]:
     return [v for v in VIEWS if v in found]
 
 
-def with_views(sql: str) -> str:
-    """sql, a SELECT or WITH, with the views it needs in front."""
-    sql, views = sql.strip(), needed(sql)
+def with_views(sql: str, stored: tuple[str, ...] = ()) -> str:
+    """sql, a SELECT or WITH, with the views it needs in front; stored ones are tables."""
+    sql, views = sql.strip(), needed(sql, stored)
     if not views:
         return sql
     head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views)
@@ -108,12 +115,29 @@ def with_views(sql: str) -> str:
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The DataFrame of sql over the tables in sf_dir; names are bound when it is made."""
-    full = with_views(sql)
+    full = with_views(sql, STORED)
+    for v in STORED:
+        if re.search(rf"\b{v}\b", full):
+            _store(spark, sf_dir, v).createOrReplaceTempView(v)
+    return _bound(spark, sf_dir, full)
+
+
+def _bound(spark: SparkSession, sf_dir: str, full: str) -> DataFrame:
     for t in BASE:
         if re.search(rf"\b{t}\b", full):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(full)
 
 
+def _store(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A shared view as a table: written at its first use by this application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = folder(spark, name)
+        _bound(spark, sf_dir, with_views(f"SELECT * FROM {name}")).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return frame(spark, sf_dir, f"SELECT * FROM {name}")
