@@ -2,7 +2,9 @@
 
 Every window of LENGTH bytes is dealt by its minimizer, the K-gram of least
 hash within it, so that equal windows meet in one task wherever they stand.
-Neighbouring windows with one minimizer travel as one stretch of text. A task
+Neighbouring windows with one minimizer travel as one stretch of text. A first
+pass deals only the minimizers' hashes and marks in a bitmap of fixed size those
+that several documents have; the others' windows repeat nothing, and stay. A task
 lays the distinct stretches whose minimizer several documents have end to end,
 sorts their suffixes with the difference-cover algorithm (sort the sampled
 triples, recurse on their names, merge the other suffixes) and compares
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 from ledgerlink.llm.common import bounded_batches, cut, grouped, small
 
 LENGTH, K = 50, 20
+#: Bits of the bitmap of repeated minimizers (16 MB); where it fills, more windows travel, none less.
+FILTER_BITS = 27
+_HASH_BITS = 40
 #: Bytes of text whose suffixes a task sorts at once.
 SORTED_BYTES = 1 << 21
 _ORDER = np.uint64(0xD6E8FEB86659FD93)
@@ -129,23 +134,82 @@ def slices(a: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return a[np.cumsum(step)]
 
 
-def _dealt(parts: int, length: int, k: int):
-    """(doc, text) batches to a row for each of them and part: the part's stretches, compressed."""
+def _laid(batch, length: int, k: int):
+    """doc, row, text bytes with starts, and the stretches of a batch of (doc, row, text)."""
+    import pyarrow as pa
+
+    raw = [x.as_py() for x in batch.column(2).fill_null("").cast(pa.binary())]
+    sizes = np.array([len(r) for r in raw], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    a = np.frombuffer(b"".join(raw), np.uint8)
+    return batch.column(0).to_numpy(), batch.column(1).to_numpy(), a, starts, *stretches(a, starts, sizes, length, k)
+
+
+def _marked(parts: int, length: int, k: int):
+    """(doc, row, text) batches to a row for each of them and part: minimizers in order, one for each document."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            doc, _, _, _, text, _, _, m = _laid(batch, length, k)
+            v, d = (m >> np.uint64(64 - _HASH_BITS)).astype(np.int64), doc[text]
+            order = np.lexsort((d, v))
+            v, d = v[order], d[order]
+            own = np.ones(len(v), bool)
+            own[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
+            v = v[own]
+            part = v * parts >> _HASH_BITS
+            edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            for s, e in zip(edges, np.append(edges[1:], len(part))):
+                step = np.diff(v[s:e], prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _HASH_BITS // 8]
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[s])], pa.int32()), pa.array([e - s], pa.int64()), pa.array([pack.compress(np.ascontiguousarray(step.T).tobytes())], pa.binary())], ["part", "n", "data"])
+
+    return run
+
+
+def _several(bits: int):
+    """Rows of a part to (first, mask): bytes of the bitmap of minimizers that came twice."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        for t, bounds in grouped(batches, ["part"]):
+            unpack = zstandard.ZstdDecompressor()
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                values = []
+                for i in range(s, e):
+                    planes = np.frombuffer(unpack.decompress(t.column("data")[i].as_py()), np.uint8).reshape(_HASH_BITS // 8, -1)
+                    step = np.zeros((planes.shape[1], 8), np.uint8)
+                    step[:, : _HASH_BITS // 8] = planes.T
+                    values.append(np.cumsum(step.view("<u8").ravel().astype(np.int64)))
+                v = np.sort(np.concatenate(values))
+                at = np.unique(v[1:][v[1:] == v[:-1]] >> (_HASH_BITS - bits))
+                if len(at):
+                    first, last = int(at[0]) >> 3, int(at[-1]) >> 3
+                    mask = np.zeros((last - first + 1) * 8, np.uint8)
+                    mask[at - first * 8] = 1
+                    yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())], ["first", "mask"])
+
+    return run
+
+
+def _dealt(parts: int, length: int, k: int, bitmap: bytes, bits: int):
+    """(doc, row, text) batches to a row for each of them and part: the part's stretches, compressed."""
 
     def run(batches):
         import pyarrow as pa
         import zstandard
 
+        marks = np.frombuffer(bitmap, np.uint8)
         for batch in batches:
-            doc = batch.column(0).to_numpy()
-            row = batch.column(1).to_numpy()
-            data = batch.column(2).fill_null("").cast(pa.binary())
-            raw = [x.as_py() for x in data]
-            sizes = np.array([len(r) for r in raw], np.int64)
-            starts = np.cumsum(sizes) - sizes
-            a = np.frombuffer(b"".join(raw), np.uint8)
-            del raw
-            text, offset, windows, m = stretches(a, starts, sizes, length, k)
+            doc, row, a, starts, text, offset, windows, m = _laid(batch, length, k)
+            at = (m >> np.uint64(64 - bits)).astype(np.int64)
+            some = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            text, offset, windows, m = text[some], offset[some], windows[some], m[some]
             part = (m >> np.uint64(11)) % np.uint64(parts)
             order = np.lexsort((doc[text], m, part))
             text, offset, windows, m, part = text[order], offset[order], windows[order], m[order], part[order]
@@ -331,9 +395,16 @@ def spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark, "4m")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = FILTER_BITS
     last = (1 << 63) - 1
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc"), F.xxhash64("text").alias("row"), "text").filter(F.octet_length("text") >= length)
-    dealt = rows.mapInArrow(_dealt(parts, length, k), "part int, n long, head binary, body binary")
+    counted = rows.mapInArrow(_marked(parts, length, k), "part int, n long, data binary").repartition("part").sortWithinPartitions("part")
+    # The masks are disjoint parts of one bitmap, so what is gathered is no larger than it.
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for r in counted.mapInArrow(_several(bits), "first long, mask binary").collect():
+        mask = np.frombuffer(r["mask"], np.uint8)
+        bitmap[r["first"] : r["first"] + len(mask)] |= mask
+    dealt = rows.mapInArrow(_dealt(parts // 2, length, k, bitmap.tobytes(), bits), "part int, n long, head binary, body binary")
     found = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_compared(length), "doc long, row long, lo long, hi long")
     return found.groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
