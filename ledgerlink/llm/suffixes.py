@@ -113,15 +113,13 @@ def stretches(a: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
         low = np.minimum(low[: len(low) - width], low[width:])
         width *= 2
     low = np.minimum(low[:n], low[w - width : w - width + n])
-    counts = np.maximum(sizes - length + 1, 0)
-    text = np.repeat(np.arange(len(sizes)), counts)
-    at = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[text]
-    m = low[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (m[1:] != m[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
-    windows = np.diff(np.append(first, len(at)))
-    return text[first], at[first] - starts[text[first]], windows, m[first]
+    # A stretch begins where the minimizer changes or a text begins, and ends with its text at the latest.
+    first = np.union1d(np.flatnonzero(low[1:] != low[:-1]) + 1, starts[sizes >= length])
+    text = np.searchsorted(starts, first, "right") - 1
+    stop = np.minimum(np.append(first[1:], n), starts[text] + sizes[text] - length + 1)
+    ok = stop > first
+    first, text, stop = first[ok], text[ok], stop[ok]
+    return text, first - starts[text], stop - first, low[first]
 
 
 def slices(a: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -248,9 +246,9 @@ def repeated(doc, offset, windows, body, starts, length: int = LENGTH):
     # Of equal stretches one goes on; those of larger docs are removed whole.
     table = {}
     same = np.empty(len(doc), np.int64)
-    data = body.tobytes()
-    for i in range(len(doc)):
-        same[i] = table.setdefault(data[starts[i] : starts[i] + size[i]], len(table))
+    data, ends = slices(body, starts, size).tobytes(), np.cumsum(size).tolist()
+    for i, (s, e) in enumerate(zip([0, *ends], ends)):
+        same[i] = table.setdefault(data[s:e], len(table))
     least = np.full(len(table), np.iinfo(np.int64).max)
     np.minimum.at(least, same, doc)
     own = np.full(len(table), -1)
