@@ -48,9 +48,10 @@ def assign(weights: dict[int, int], shards: int) -> dict[int, int]:
 def rebalance(plan: dict[int, int], weights: dict[int, int], shards: int) -> dict[int, int]:
     """The map edited for shards (more or fewer than now), with few slots moved.
 
-    Slots of shards that go, and those that a shard holds beyond an even load,
-    move to the lightest shards; all others stay where they are.
+    Slots of shards that go move to the lightest shards. Those that a shard holds
+    beyond an even load move to new shards only; all others stay where they are.
     """
+    new = range(max(plan.values(), default=-1) + 1, shards)
     even = sum(weights.values()) / shards
     load, out, loose = dict.fromkeys(range(shards), 0), {}, []
     for slot in sorted(plan, key=lambda s: (-weights.get(s, 0), s)):
@@ -61,7 +62,8 @@ def rebalance(plan: dict[int, int], weights: dict[int, int], shards: int) -> dic
         else:
             loose.append(slot)
     for slot in loose:
-        shard = min(load, key=lambda s: (load[s], s))
+        own = plan[slot]
+        shard = min([*new, own] if own < shards else range(shards), key=lambda s: (load[s], s))
         out[slot] = shard
         load[shard] += weights.get(slot, 0)
     return out
