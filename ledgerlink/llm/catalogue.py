@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlink.llm import decontaminate, jaccard, licenses, mixing, quality, sharding, suffixes, tokens, toxicity, warc
+from ledgerlink.llm import decontaminate, jaccard, licenses, mixing, oracles, quality, sharding, suffixes, tokens, toxicity, warc
 from ledgerlink.llm.common import table
 
 
@@ -71,4 +71,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_round_trip": OP8_SQL}
+    return {"op1_license_scan": oracles.licence_sql(), "op4_ngram_jaccard_join": oracles.JACCARD, "op5_quality_rules": oracles.quality_sql(), "op8_warc_round_trip": OP8_SQL}
