@@ -133,9 +133,11 @@ def collapse_sole_traders(nodes: DataFrame, edges: DataFrame, root: str) -> tupl
     return nodes.join(gone, nodes["id"] == gone["node"], "left_anti"), kept
 
 
-def sharing_address(relationships: DataFrame, most: int = 50) -> DataFrame:
-    """a, b, address: entities registered at one address of at most so many; larger ones say nothing and would square."""
-    live = relationships.filter(known() & (F.col("relationship_type") == "registered_at")).select(F.col("source_id").alias("a"), F.col("target_id").alias("address")).distinct()
-    few = live.groupBy("address").count().filter(F.col("count").between(2, most)).select("address")
-    live = live.join(few, "address", "left_semi")
-    return live.join(live.withColumnRenamed("a", "b"), "address").filter("a < b").select("a", "b", "address")
+def sharing_address(relationships: DataFrame) -> DataFrame:
+    """entity, address, entities: who is registered where more than one is, with how many are.
+
+    Members and not pairs: a row for each link, whatever the size of its address.
+    """
+    live = relationships.filter(known() & (F.col("relationship_type") == "registered_at")).select(F.col("source_id").alias("entity"), F.col("target_id").alias("address")).distinct()
+    sizes = live.groupBy("address").agg(F.count("*").alias("entities")).filter("entities > 1")
+    return live.join(sizes, "address").select("entity", "address", "entities")

@@ -107,7 +107,7 @@ def hub_top20(spark, sf_dir):
 
 
 def shared_addresses(spark, sf_dir):
-    return G.sharing_address(view(spark, sf_dir, "relationships").filter("source_id like 'S%'"), 20)
+    return G.sharing_address(view(spark, sf_dir, "relationships"))
 
 
 def contract_days(spark, sf_dir):
@@ -132,8 +132,8 @@ QUERIES = {
     "degree_recount": (degree_recount, with_views("SELECT e.id, coalesce(d.degree, 0) AS degree FROM entities e LEFT JOIN degrees d ON d.id = e.id")),
     "degree_histogram": (degree_histogram, with_views("SELECT CAST(least(floor(degree / 50.0), 10) + 1 AS INTEGER) AS bucket, count(*) AS n, min(degree) AS low, max(degree) AS high FROM degrees GROUP BY 1")),
     "hub_top20": (hub_top20, with_views("SELECT id, degree FROM degrees ORDER BY degree DESC, id LIMIT 20")),
-    "shared_addresses": (shared_addresses, with_views("""WITH l AS (SELECT source_id AS a, target_id AS address FROM relationships WHERE superseded_on IS NULL AND relationship_type = 'registered_at' AND source_id LIKE 'S%'),
-        few AS (SELECT address FROM l GROUP BY address HAVING count(*) BETWEEN 2 AND 20)
-        SELECT x.a, y.a AS b, address FROM l x JOIN l y USING (address) JOIN few USING (address) WHERE x.a < y.a""")),
+    "shared_addresses": (shared_addresses, with_views("""WITH l AS (SELECT DISTINCT source_id AS entity, target_id AS address FROM relationships WHERE superseded_on IS NULL AND relationship_type = 'registered_at'),
+        s AS (SELECT address, count(*) AS entities FROM l GROUP BY address HAVING count(*) > 1)
+        SELECT entity, address, entities FROM l JOIN s USING (address)""")),
     "interval_join": (contract_days, with_views("SELECT r.id, count(*) AS orders_within FROM relationships r JOIN orders o ON r.target_id = 'C' || CAST(o_custkey AS VARCHAR) AND CAST(o_orderdate AS DATE) BETWEEN valid_from AND valid_to WHERE relationship_type = 'contractor_of' AND valid_to IS NOT NULL GROUP BY r.id")),
 }

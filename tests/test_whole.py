@@ -5,11 +5,10 @@ import os
 import re
 from collections import defaultdict
 
-import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
-import pytest
 
+from ledgerlink.operators import graph as G
 from ledgerlink.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -27,3 +26,24 @@ def test_fold_documents_folds_whole_texts(spark, tmp_path):
     want = {i: None if t is None else " ".join(re.findall("[0-9a-z]+", t.lower().translate(letters).replace("ß", "ss"))) for i, t in enumerate(texts)}
     got = {r["k"]: r["folded"] for r in registry.queries()["fold_documents"](spark, str(tmp_path)).collect()}
     assert got == want and got[3].endswith("ostatnie slowo")
+
+
+def test_shared_addresses_keeps_all_entities_and_large_addresses(spark):
+    ordered = {r["o_custkey"] for r in rows("orders")}
+    at = defaultdict(set)
+    for r in rows("customer"):
+        if r["c_custkey"] in ordered:
+            at[f"N{r['c_nationkey']}"].add(f"C{r['c_custkey']}")
+    for r in rows("supplier"):
+        at[f"N{r['s_nationkey']}"].add(f"S{r['s_suppkey']}")
+    want = {(e, a, len(es)) for a, es in at.items() if len(es) > 1 for e in es}
+    got = [tuple(r) for r in registry.queries()["shared_addresses"](spark, DATA).select("entity", "address", "entities").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {x[0][0] for x in got} == {"C", "S"}
+
+
+def test_sharing_address_has_no_largest_group(spark):
+    # 300 at one address, one of them twice; a pair; one alone; a fact no longer known.
+    links = [(f"e{i}", "big") for i in range(300)] + [("e0", "big"), ("p", "pair"), ("q", "pair"), ("r", "alone")]
+    edges = spark.createDataFrame([(*x, "registered_at", None) for x in links] + [("s", "alone", "registered_at", "2003-01-01")], "source_id string, target_id string, relationship_type string, superseded_on string")
+    got = {tuple(r) for r in G.sharing_address(edges).collect()}
+    assert got == {(f"e{i}", "big", 300) for i in range(300)} | {("p", "pair", 2), ("q", "pair", 2)}
