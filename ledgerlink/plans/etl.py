@@ -105,13 +105,16 @@ MOVED = f"""WITH m AS ({MAPPING}), e AS ({PART_EDGES}) SELECT e.id, source_id, t
 UNION ALL SELECT e.id || '''', source_id, survivor_id, DATE '2004-01-01', NULL, 'added' FROM e JOIN m ON m.merged_id = e.target_id"""
 
 
+#: A record for each company with all its identifiers; of some the NIP is unknown, of some another company's.
+RECORDS = """SELECT CAST(value AS BIGINT) AS record_id, scheme, CASE WHEN scheme = 'nip' AND CAST(value AS BIGINT) % 7 = 3 THEN '9' || substr(value, 2)
+  WHEN scheme = 'nip' AND CAST(value AS BIGINT) % 7 = 5 THEN lpad(CAST(CAST(value AS BIGINT) + 1 AS STRING), 10, '0') ELSE value END AS value FROM identifiers"""
+
+
 def resolve_by_identifier(spark, sf_dir):
-    ids = view(spark, sf_dir, "identifiers")
-    records = ids.filter("cast(value as long) % 7 = 0").select(F.expr("cast(value as long) % 500").alias("record_id"), "scheme", "value")
-    return resolve.by_identifier(records, ids)
+    return resolve.by_identifier(frame(spark, sf_dir, RECORDS), view(spark, sf_dir, "identifiers"))
 
 
-RESOLVED = """WITH r AS (SELECT CAST(value AS BIGINT) % 500 AS record_id, scheme, value FROM identifiers WHERE CAST(value AS BIGINT) % 7 = 0)
+RESOLVED = f"""WITH r AS ({RECORDS})
 SELECT record_id, i.entity_id, i.scheme FROM r JOIN identifiers i ON i.scheme = r.scheme AND i.value = r.value QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY CASE i.scheme WHEN 'krs' THEN 1 ELSE 2 END, i.entity_id) = 1"""
 
 
@@ -157,7 +160,7 @@ c AS (SELECT e, lower(name) AS low, count(*) AS k, min(struct_pack(o := o, name
 
 def geocode_match(spark, sf_dir):
     a = view(spark, sf_dir, "addresses").select("entity_id", T.point_key(F.col("city"), F.col("street"), F.col("building")).alias("match_key"), F.when(F.expr("length(entity_id) % 2 = 0"), F.col("voivodeship")).alias("voivodeship"))
-    p = frame(spark, sf_dir, "SELECT p_partkey AS id, p_type AS city, p_name AS street, p_brand AS building, CASE p_size % 3 WHEN 0 THEN 'mazowieckie' ELSE 'pomorskie' END AS voivodeship, p_partkey % 5000 AS lat, p_size AS lon FROM part WHERE p_partkey % 2 = 0")
+    p = frame(spark, sf_dir, "SELECT p_partkey AS id, p_type AS city, p_name AS street, CASE WHEN p_partkey % 5 = 0 THEN p_brand || ' bis' ELSE p_brand END AS building, CASE p_size % 3 WHEN 0 THEN 'mazowieckie' ELSE 'pomorskie' END AS voivodeship, p_partkey % 5000 AS lat, p_size AS lon FROM part")
     points = p.select("id", T.point_key(F.col("city"), F.col("street"), F.col("building")).alias("match_key"), "voivodeship", "lat", "lon")
     return loading.geocoded(a, points)
 
@@ -167,7 +170,7 @@ def _geocode_sql() -> str:
 
     key = lambda c, s, b: f"{sql_fold(c)} || '|' || {sql_fold(s)} || '|' || {sql_fold(b)}"
     return f"""WITH a AS (SELECT entity_id, {key('city', 'street', 'building')} AS match_key, CASE WHEN length(entity_id) % 2 = 0 THEN voivodeship END AS voivodeship FROM addresses),
-p AS (SELECT {key('p_type', 'p_name', 'p_brand')} AS match_key, CASE p_size % 3 WHEN 0 THEN 'mazowieckie' ELSE 'pomorskie' END AS voivodeship, p_partkey % 5000 AS lat, p_size AS lon, p_partkey AS id FROM part WHERE p_partkey % 2 = 0),
+p AS (SELECT {key('p_type', 'p_name', "CASE WHEN p_partkey % 5 = 0 THEN p_brand || ' bis' ELSE p_brand END")} AS match_key, CASE p_size % 3 WHEN 0 THEN 'mazowieckie' ELSE 'pomorskie' END AS voivodeship, p_partkey % 5000 AS lat, p_size AS lon, p_partkey AS id FROM part),
 u AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY match_key, voivodeship ORDER BY id) = 1), s AS (SELECT match_key FROM u GROUP BY 1 HAVING count(*) = 1)
 SELECT entity_id, a.match_key, lat, lon FROM a JOIN u ON u.match_key = a.match_key AND (u.voivodeship = a.voivodeship OR (a.voivodeship IS NULL AND u.match_key IN (SELECT match_key FROM s)))"""
 

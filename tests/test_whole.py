@@ -47,3 +47,37 @@ def test_sharing_address_has_no_largest_group(spark):
     edges = spark.createDataFrame([(*x, "registered_at", None) for x in links] + [("s", "alone", "registered_at", "2003-01-01")], "source_id string, target_id string, relationship_type string, superseded_on string")
     got = {tuple(r) for r in G.sharing_address(edges).collect()}
     assert got == {(f"e{i}", "big", 300) for i in range(300)} | {("p", "pair", 2), ("q", "pair", 2)}
+
+
+def test_resolve_by_identifier_takes_all_identifiers(spark):
+    keys = {r["c_custkey"] for r in rows("customer")}
+    want = {}
+    for k in keys:
+        nip = None if k % 7 == 3 else k + 1 if k % 7 == 5 else k
+        if k % 10 == 0:
+            want[k] = (f"C{k}", "krs")
+        elif nip in keys:
+            want[k] = (f"C{nip}", "nip")
+    got = {r["record_id"]: (r["entity_id"], r["scheme"]) for r in registry.queries()["resolve_by_identifier"](spark, DATA).collect()}
+    assert got == want and 0 < len(want) < len(keys)
+
+
+def test_geocode_match_takes_all_points(spark):
+    fold = lambda x: " ".join(re.findall("[0-9a-z]+", x.lower()))
+    key = lambda r, brand: "|".join(map(fold, (r["p_type"], r["p_name"], brand)))
+    part = sorted(rows("part"), key=lambda r: r["p_partkey"])
+    points = defaultdict(dict)
+    for r in part:
+        region = "mazowieckie" if r["p_size"] % 3 == 0 else "pomorskie"
+        points[key(r, r["p_brand"] + " bis" * (r["p_partkey"] % 5 == 0))].setdefault(region, (r["p_partkey"] % 5000, r["p_size"]))
+    want = set()
+    for r in part:
+        name, k = f"A{r['p_partkey']}", key(r, r["p_brand"])
+        region = (None if len(name) % 2 else {0: "mazowieckie", 1: "pomorskie"}.get(r["p_size"] % 3))
+        at = points.get(k, {})
+        hit = at.get(region) if region else next(iter(at.values())) if len(at) == 1 else None
+        if hit:
+            want.add((name, k, *hit))
+    got = [tuple(r) for r in registry.queries()["geocode_match"](spark, DATA).select("entity_id", "match_key", "lat", "lon").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {int(x[0][1:]) % 2 for x in want} == {0, 1} and len(want) < len(part)
