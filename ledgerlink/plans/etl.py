@@ -64,12 +64,12 @@ UNION ALL SELECT id, source_id, target_id, valid_from, valid_to, DATE '2004-01-0
 
 def close_missing(spark, sf_dir):
     r = view(spark, sf_dir, "relationships")
-    roots = frame(spark, sf_dir, "SELECT 'C' || CAST(c_custkey AS STRING) AS id FROM customer WHERE c_custkey <= 100")
+    roots = frame(spark, sf_dir, "SELECT 'C' || CAST(c_custkey AS STRING) AS id FROM customer")
     out = loading.close_missing(r, roots, r.filter("confidence <> 'medium'").select("id"), "2004-01-01")
     return out.select("id", "valid_to", "superseded_on")
 
 
-CLOSE = """WITH g AS (SELECT id FROM relationships WHERE superseded_on IS NULL AND valid_to IS NULL AND confidence = 'medium' AND target_id IN (SELECT 'C' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey <= 100))
+CLOSE = """WITH g AS (SELECT id FROM relationships WHERE superseded_on IS NULL AND valid_to IS NULL AND confidence = 'medium' AND target_id IN (SELECT 'C' || CAST(c_custkey AS VARCHAR) FROM customer))
 SELECT r.id, CASE WHEN g.id IS NOT NULL THEN DATE '2004-01-01' ELSE valid_to END AS valid_to, CASE WHEN g.id IS NOT NULL THEN DATE '2004-01-01' ELSE superseded_on END AS superseded_on FROM relationships r LEFT JOIN g ON g.id = r.id"""
 
 

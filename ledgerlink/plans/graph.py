@@ -89,7 +89,7 @@ def edges_historical(spark, sf_dir):
 
 
 def edge_types(spark, sf_dir):
-    e = view(spark, sf_dir, "graph_edges").filter(~F.col("relationship_type").isin(*G.DERIVED) & F.col("from_id").isin("C1", "S1", "N1", "R1"))
+    e = view(spark, sf_dir, "graph_edges").filter(~F.col("relationship_type").isin(*G.DERIVED))
     return e.select("id", "direction", "relationship_type", *G.oriented())
 
 
@@ -128,7 +128,7 @@ QUERIES = {
         CAST((SELECT count(*) FROM n1 WHERE target_degree > {SMALL.hub_degree}) AS INTEGER) AS suppressed_hubs""")),
     "edges_as_of": (edges_as_of, with_views("SELECT id, source_id, target_id, valid_from, valid_to, confidence FROM relationships WHERE superseded_on IS NULL AND relationship_type = 'contractor_of' AND (valid_from IS NULL OR valid_from <= DATE '1999-12-31') AND (valid_to IS NULL OR valid_to >= DATE '1999-12-31')")),
     "edges_historical": (edges_historical, with_views("SELECT id, valid_from, valid_to, (valid_to IS NULL OR valid_to >= DATE '2000-06-30') AS is_current FROM relationships WHERE superseded_on IS NULL AND relationship_type = 'contractor_of'")),
-    "edge_orientation": (edge_types, with_views("SELECT id, direction, relationship_type, CASE WHEN direction = 'out' THEN from_id ELSE to_id END AS source_id, CASE WHEN direction = 'out' THEN to_id ELSE from_id END AS target_id FROM graph_edges WHERE from_id IN ('C1', 'S1', 'N1', 'R1')")),
+    "edge_orientation": (edge_types, with_views("SELECT id, direction, relationship_type, CASE WHEN direction = 'out' THEN from_id ELSE to_id END AS source_id, CASE WHEN direction = 'out' THEN to_id ELSE from_id END AS target_id FROM graph_edges")),
     "degree_recount": (degree_recount, with_views("SELECT e.id, coalesce(d.degree, 0) AS degree FROM entities e LEFT JOIN degrees d ON d.id = e.id")),
     "degree_histogram": (degree_histogram, with_views("SELECT CAST(least(floor(degree / 50.0), 10) + 1 AS INTEGER) AS bucket, count(*) AS n, min(degree) AS low, max(degree) AS high FROM degrees GROUP BY 1")),
     "hub_top20": (hub_top20, with_views("SELECT id, degree FROM degrees ORDER BY degree DESC, id LIMIT 20")),

@@ -146,7 +146,7 @@ UNION ALL SELECT superseded_on, 'relationship_closed', relationship_type, NULL,
 
 
 def financials(spark, sf_dir):
-    return view(spark, sf_dir, "financials").filter("entity_id in (1, 2, 3)").select("entity_id", "period", "revenue")
+    return view(spark, sf_dir, "financials").select("entity_id", "period", "revenue")
 
 
 def dataset_fingerprint(spark, sf_dir):
@@ -218,7 +218,7 @@ QUERIES = {
     "relationship_count": (relationship_count, with_views("SELECT from_id, count(*) AS n FROM graph_edges g JOIN entities e ON e.id = g.to_id AND e.merged_into_id IS NULL WHERE superseded_on IS NULL GROUP BY from_id")),
     "attribute_changes": (changes_of, with_views("""SELECT 'C' || CAST(user_id AS VARCHAR) AS entity_id, CAST(ts AS DATE) AS "on", field, old AS old_value, value AS new_value FROM (SELECT *, lag(value) OVER w AS old, row_number() OVER w AS n FROM attribute_log WINDOW w AS (PARTITION BY user_id, field ORDER BY ts, event_id)) l WHERE n > 1 AND old IS DISTINCT FROM value""")),
     "change_timeline": (change_timeline, with_views(TIMELINE)),
-    "financials": (financials, with_views("SELECT entity_id, period, revenue FROM financials WHERE entity_id IN (1, 2, 3)")),
+    "financials": (financials, with_views("SELECT entity_id, period, revenue FROM financials")),
     "dataset_fingerprint": (dataset_fingerprint, with_views("SELECT count(*) AS entities, count(*) FILTER (entity_type = 'company') AS companies, count(*) FILTER (entity_type = 'person') AS people, count(*) FILTER (entity_type = 'address') AS addresses, (SELECT count(*) FROM relationships WHERE superseded_on IS NULL) AS live_edges FROM entities WHERE merged_into_id IS NULL")),
     "source_inventory": (source_inventory, with_views(INVENTORY)),
     "map_base_cells": (map_base_cells, with_views(CELLS)),

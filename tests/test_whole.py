@@ -4,12 +4,14 @@ import glob
 import os
 import re
 from collections import defaultdict
+from decimal import Decimal
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from ledgerlink.operators import graph as G
 from ledgerlink.plans import registry
+from ledgerlink.sources.adapters import view
 
 DATA = "/root/testdata/sf0.001"
 TABLES = {os.path.basename(f)[:-8]: f for f in glob.glob(f"{DATA}/*.parquet")}
@@ -81,3 +83,28 @@ def test_geocode_match_takes_all_points(spark):
     got = [tuple(r) for r in registry.queries()["geocode_match"](spark, DATA).select("entity_id", "match_key", "lat", "lon").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {int(x[0][1:]) % 2 for x in want} == {0, 1} and len(want) < len(part)
+
+
+def test_close_missing_takes_all_companies(spark):
+    facts = view(spark, DATA, "relationships").collect()
+    companies = {f"C{r['c_custkey']}" for r in rows("customer")}
+    gone = {r["id"] for r in facts if r["superseded_on"] is None and r["valid_to"] is None and r["confidence"] == "medium" and r["target_id"] in companies}
+    want = {(r["id"], *(("2004-01-01",) * 2 if r["id"] in gone else (str(r["valid_to"]), str(r["superseded_on"])))) for r in facts}
+    got = [(r["id"], str(r["valid_to"]), str(r["superseded_on"])) for r in registry.queries()["close_missing"](spark, DATA).collect()]
+    assert len(got) == len(facts) and set(got) == want
+    assert any(int(r["target_id"][1:]) > 100 for r in facts if r["id"] in gone)
+
+
+def test_financials_takes_all_entities(spark):
+    want = defaultdict(Decimal)
+    for r in rows("orders"):
+        want[r["o_custkey"], r["o_orderdate"].year] += Decimal(str(r["o_totalprice"])).quantize(Decimal("0.01"))
+    got = {(r["entity_id"], r["period"]): r["revenue"] for r in registry.queries()["financials"](spark, DATA).collect()}
+    assert got == want and len({k[0] for k in got}) > 3
+
+
+def test_edge_orientation_takes_all_edges(spark):
+    facts = view(spark, DATA, "relationships").collect()
+    want = sorted((r["id"], way, r["relationship_type"], r["source_id"], r["target_id"]) for r in facts for way in ("in", "out"))
+    got = registry.queries()["edge_orientation"](spark, DATA).select("id", "direction", "relationship_type", "source_id", "target_id").collect()
+    assert sorted(map(tuple, got)) == want
