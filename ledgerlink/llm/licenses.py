@@ -38,21 +38,70 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^0-9a-z\x{80}-\x{FFFF}]+", " ")), " ")
+
+
+def _pairs(w: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+
+
 def _bigrams(text: Column) -> Column:
-    flat = F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^0-9a-z\x{80}-\x{FFFF}]+", " "))
-    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
-    return bind(F.split(flat, " "), lambda w: F.when(F.size(w) > 1, F.array_distinct(pairs(w))).otherwise(F.array().cast("array<string>")))
+    return bind(_words(text), lambda w: F.when(F.size(w) > 1, F.array_distinct(_pairs(w))).otherwise(F.array().cast("array<string>")))
+
+
+def _passages(text: Column, bigrams: Column, longest: Column, least: Column, num: int, den: int) -> Column:
+    """Array of (unit, n, shared): windows of at most longest bigrams of text that reach num/den, the best first, none over a better one.
+
+    The best windows begin and end with a bigram of the template and have at
+    least `least` of them, so only those are tried. Ones in a line that itself
+    reaches num/den are left to the line.
+    """
+    m = F.size(bigrams)
+    enough = lambda shared, n: 2 * den * shared >= num * (n + m)
+    shared = lambda x: F.size(F.array_intersect(x, bigrams))
+
+    def window(b: Column, first: Column, last: Column) -> Column:
+        return bind(F.array_distinct(F.slice(b, first + 1, last - first + 1)), lambda x: bind(shared(x), lambda k: F.struct((-2.0 * k / (F.size(x) + m)).alias("d"), first.alias("first"), last.alias("last"), F.size(x).alias("n"), k.alias("shared"))))
+
+    def windows(b: Column, h: Column) -> Column:
+        ends = lambda i: F.when(i + least <= F.size(h), F.sequence(i + least - 1, F.least(F.size(h), i + longest) - 1)).otherwise(F.array().cast("array<int>"))
+        from_one = lambda i: F.transform(F.filter(ends(i), lambda j: F.get(h, j) - F.get(h, i) < longest), lambda j: window(b, F.get(h, i), F.get(h, j)))
+        tried = F.flatten(F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.filter(from_one(i), lambda x: enough(x["shared"], x["n"]))))
+        return F.when(F.size(h) >= least, F.array_sort(tried))
+
+    apart = lambda kept, x: ~F.exists(kept, lambda y: (x["first"] <= y["last"]) & (x["last"] >= y["first"]))
+    chosen = lambda found: F.aggregate(found, F.slice(found, 1, 0), lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    count = lambda line: bind(_words(line), lambda w: F.when(F.get(w, F.lit(0)) == "", F.lit(0)).otherwise(F.size(w)))
+    #: The word at which each line begins, and the end.
+    begins = F.aggregate(F.split(text, "\n"), F.array(F.lit(0)), lambda at, line: F.concat(at, F.array(F.element_at(at, -1) + count(line))))
+
+    def stated(b: Column, at: Column, x: Column) -> Column:
+        inside = lambda k: (F.get(at, k) <= x["first"]) & (x["last"] + 1 < F.get(at, k + 1))
+        line = lambda k: F.array_distinct(F.slice(b, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k) - 1))
+        return F.exists(F.filter(F.sequence(F.lit(0), F.size(at) - 2), inside), lambda k: bind(line(k), lambda y: enough(shared(y), F.size(y))))
+
+    def of(b: Column) -> Column:
+        h = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: F.array_contains(bigrams, F.get(b, i)))
+        best = bind(bind(h, lambda y: windows(b, y)), chosen)
+        return bind(begins, lambda at: F.transform(F.filter(best, lambda x: ~stated(b, at, x)), lambda x: F.struct((-1 - x["first"]).alias("unit"), x["n"].alias("n"), x["shared"].alias("shared"))))
+
+    return bind(bind(_words(text), _pairs), of)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, num: int = 80, den: int = 100) -> DataFrame:
     """Licence statements in docs (doc_id, text): doc_id, unit, template, dice, shared, unit_bigrams, template_bigrams.
 
-    Units are the whole text (0) and each of its lines (1, 2, ...) if it has
-    more than one; the best template of a unit with a Dice coefficient of at
-    least num/den is returned, ties to the first by name. Sizes bound Dice:
-    a unit of n bigrams can reach d only with templates of d n / (2 - d) to
-    (2 - d) n / d bigrams, and only those are intersected. Texts without a
-    bigram, and null ones, have no statement. Repeated rows give repeated rows.
+    Units are the whole text (0), each of its lines (1, 2, ...) if it has more
+    than one, and passages (-1, -2, ...: the word they begin with), over lines
+    and within them; what has a Dice coefficient of at least num/den with a
+    template is returned. Sizes bound Dice: a unit of n bigrams can reach d
+    only with templates of d n / (2 - d) to (2 - d) n / d bigrams, and only
+    those are intersected. Passages are sought where a text holds enough of a
+    template's bigrams, in windows of up to (2 - d) / d times the template's
+    length; they are the best, do not overlap for one template, and leave out
+    what the whole text or one line states. Texts without a bigram, and null
+    ones, have no statement. Repeated rows give repeated rows.
     """
     sets = {k: template_bigrams(v) for k, v in sorted((templates or TEMPLATES).items())}
     sets = {k: v for k, v in sets.items() if v}
@@ -65,14 +114,23 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, num: int = 80
     split = F.split(text, "\n")
     lines = bind(split, lambda x: F.when(F.size(x) > 1, F.concat(F.array(text), x)).otherwise(F.array(text)))
     units = docs.select("doc_id", F.posexplode(lines).alias("unit", "part")).filter(F.length("part") > 2 * low)
-    units = units.select("doc_id", "unit", _bigrams(F.col("part")).alias("set")).withColumn("n", F.size("set")).filter(F.col("n").between(max(low, 1), high))
-
-    def compared(name: str, bigrams: list[str]) -> Column:
-        m, n = len(bigrams), F.col("n")
-        fits = (num * (n + m) <= 2 * den * F.least(n, F.lit(m)))
-        shared = F.size(F.array_intersect(F.col("set"), F.array(*[F.lit(b) for b in bigrams])))
-        return F.when(fits, F.struct(shared.alias("shared"), F.lit(-m).alias("order"), F.lit(name).alias("template"), F.lit(m).alias("template_bigrams")))
-
-    found = units.select("doc_id", "unit", "n", F.explode(F.filter(F.array(*[compared(k, v) for k, v in sets.items()]), lambda x: x.isNotNull())).alias("t"))
-    found = found.select("doc_id", "unit", F.col("n").alias("unit_bigrams"), "t.template", "t.shared", "t.template_bigrams")
-    return found.filter(2 * den * F.col("shared") >= num * (F.col("unit_bigrams") + F.col("template_bigrams"))).withColumn("dice", 2.0 * F.col("shared") / (F.col("unit_bigrams") + F.col("template_bigrams")))
+    units = units.select("doc_id", "unit", _bigrams(F.col("part")).alias("set"), F.when(F.col("unit") == 0, F.col("part")).alias("whole")).withColumn("n", F.size("set")).filter((F.col("n") >= max(low, 1)) & ((F.col("n") <= high) | (F.col("unit") == 0)))
+    literal = lambda bigrams: F.array(*[F.lit(b) for b in bigrams])
+    known = F.array_intersect(F.col("set"), literal(sorted(set().union(*sets.values()))))
+
+    def compared(name: str, bigrams: list[str], inter: Column) -> Column:
+        m, n, size = len(bigrams), F.col("n"), len(normal_words((templates or TEMPLATES)[name])) - 1
+        least = -(-num * m // (2 * den - num))
+        return bind(F.size(F.array_intersect(inter, literal(bigrams))), lambda k: F.when((k >= least) & ((F.col("unit") == 0) | (2 * den * k >= num * (n + m))), F.struct(
+            k.alias("shared"), F.lit(name).alias("template"), F.lit(m).alias("template_bigrams"), (2 * den * k >= num * (n + m)).alias("whole_unit"), F.lit(least).alias("least"), F.lit(-(-size * (2 * den - num) // num)).alias("longest"))))
+
+    if not sets:
+        known = F.array().cast("array<string>")
+    each = bind(known, lambda inter: F.filter(F.array(*[compared(k, v, inter) for k, v in sets.items()]), lambda x: x.isNotNull()))
+    rows = units.select("doc_id", "unit", "n", "whole", F.explode(each).alias("t"))
+    bigrams = F.element_at(F.create_map(*[x for k, v in sets.items() for x in (F.lit(k), literal(v))]), F.col("t.template"))
+    itself = F.array(F.struct(F.col("unit"), F.col("n"), F.col("t.shared").alias("shared")))
+    inside = bind(bigrams, lambda b: _passages(F.col("whole"), b, F.col("t.longest"), F.col("t.least"), num, den))
+    found = rows.select("doc_id", "t", F.explode(F.when(F.col("t.whole_unit"), itself).otherwise(inside)).alias("u"))
+    found = found.select("doc_id", "u.unit", F.col("u.n").alias("unit_bigrams"), "t.template", F.col("u.shared").alias("shared"), "t.template_bigrams")
+    return found.withColumn("dice", 2.0 * F.col("shared") / (F.col("unit_bigrams") + F.col("template_bigrams")))
