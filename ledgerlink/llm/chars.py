@@ -45,3 +45,13 @@ def qgrams(a: np.ndarray, q: int) -> np.ndarray:
 def mixed(h: np.ndarray, bits: int) -> np.ndarray:
     """The hash's best bits as an index below 2**bits."""
     return ((h ^ (h >> np.uint64(31))) * np.uint64(_MIX)) >> np.uint64(64 - bits)
+
+
+def slices(a: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches a[at[i] : at[i] + size[i]], end to end; none is empty."""
+    ends = np.cumsum(size)
+    step = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    if len(step):
+        step[0] = at[0]
+        step[ends[:-1]] = at[1:] - at[:-1] - size[:-1] + 1
+    return a[np.cumsum(step)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -38,6 +39,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cluster remove shuffle files that nothing refers to any more, now and not at the driver's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df marked for broadcast if its counted rows fit BROADCAST_BYTES, else as it is.
 

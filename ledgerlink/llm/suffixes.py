@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlink.llm.chars import slices
 from ledgerlink.llm.common import bounded_batches, cut, grouped, small
 
 LENGTH, K = 50, 20
@@ -122,16 +123,6 @@ def stretches(a: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
     return text, first - starts[text], stop - first, low[first]
 
 
-def slices(a: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes a[at[i] : at[i] + size[i]], end to end."""
-    ends = np.cumsum(size)
-    step = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
-    if len(step):
-        step[0] = at[0]
-        step[ends[:-1]] = at[1:] - at[:-1] - size[:-1] + 1
-    return a[np.cumsum(step)]
-
-
 def _laid(batch, length: int, k: int):
     """doc, row, text bytes with starts, and the stretches of a batch of (doc, row, text)."""
     import pyarrow as pa

@@ -1,8 +1,10 @@
 """Token IDs in training order.
 
-Texts become token ids and, end to end within a partition, sequences of fixed
-length. A keyed Feistel permutation with cycle-walking gives every sequence its
-global slot; slots fall into shards by range, and each shard is one file of
+Texts become token ids and, end to end within a stream, sequences of fixed
+length. Streams, and the order in them, come from hashes of the documents, so
+that the training order does not depend on how the input is partitioned. A keyed
+Feistel permutation with cycle-walking gives every sequence its global slot;
+slots fall into shards by range, one shard a task, and each shard is one file of
 fixed-stride records in slot order, so a reader seeks to any slot and goes on.
 """
 
@@ -11,21 +13,24 @@ from __future__ import annotations
 import posixpath
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import bounded_batches, cut, grouped, sides, workspace
+from ledgerlink.llm.common import bounded_batches, cut, grouped, release, sides, workspace
 from ledgerlink.llm.warc import _files
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level BPE vocabularies of this family split text.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Tokens of a sequence; the id that ends a document and fills the last sequence of a partition.
+#: Tokens of a sequence; the id that ends a document and fills the last sequence of a stream.
 LENGTH, END = 1024, 50256
 #: Sequences of a shard file.
-SHARD_SLOTS = 8192
-#: Sequences compressed together.
-PACK = 512
+SHARD_SLOTS = 32768
+#: Bytes of text to a stream: what one task lays end to end.
+STREAM_BYTES = 32 << 20
+#: Sequences compressed together; packs dealt at once; tokens a task holds before it passes them on.
+PACK, DEALT_PACKS, HELD_TOKENS = 512, 16, 4 << 20
 _M = (1 << 64) - 1
 
 
@@ -69,55 +74,76 @@ def encoder(vocabulary: bytes, pattern: str):
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _sequences(vocabulary: bytes, pattern: str, length: int, end: int):
-    """(doc_id, text) to packs (part, first, n, tokens, docs) of up to PACK sequences."""
+def _tokenised(vocabulary: bytes, pattern: str, end: int):
+    """(stream, h, doc_id, text) to a row a stream and run of batches: docs (h, doc, known, tokens) and their tokens."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import zstandard
-        from pyspark import TaskContext
 
         bpe, pack = encoder(vocabulary, pattern), zstandard.ZstdCompressor(3)
-        part = TaskContext.get().partitionId()
-        waiting, size, docs, first = [], 0, [], 0
-
-        def packed(n):
-            nonlocal waiting, size, docs, first
-            flow = np.concatenate(waiting)
-            body, rest = flow[: n * length], flow[n * length :]
-            # docs: (doc, known, place in the flow, tokens); those that go on are cut.
-            table = np.array(docs, np.int64).reshape(-1, 4)
-            cutoff = n * length
-            mine, more = table[table[:, 2] < cutoff], table[table[:, 2] + table[:, 3] > cutoff].copy()
-            over = np.maximum(cutoff - more[:, 2], 0)
-            more[:, 3] -= over
-            more[:, 2] = np.maximum(more[:, 2] - cutoff, 0)
-            mine = mine.copy()
-            mine[:, 3] = np.minimum(mine[:, 3], cutoff - mine[:, 2])
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([pack.compress(body.astype("<u2").tobytes())], pa.binary()), pa.array([pack.compress(mine.tobytes())], pa.binary())], ["part", "first", "n", "tokens", "docs"])
-            waiting, size, docs, first = [rest], len(rest), more.tolist(), first + n
-            return row
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
+
+        def emptied():
+            for stream, (docs, flow) in sorted(held.items()):
+                row = [pa.array([stream], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([pack.compress(np.array(docs, np.int64).tobytes())], pa.binary()), pa.array([pack.compress(np.concatenate(flow).astype("<u2").tobytes())], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["stream", "n", "docs", "tokens"])
+            held.clear()
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for stream, h, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 ids = bpe.encode_ordinary(text) if text else []
-                if not ids:
-                    continue
-                waiting.append(np.array([*ids, end], np.uint16))
-                docs.append((doc or 0, doc is not None, size, len(ids) + 1))
-                size += len(ids) + 1
-                while size >= PACK * length:
-                    yield packed(PACK)
-        if size:
-            n = -(-size // length)
-            waiting.append(np.full(n * length - size, end, np.uint16))
-            yield packed(n)
+                if ids:
+                    docs, flow = held.setdefault(stream, ([], []))
+                    docs.append((h, doc or 0, doc is not None, len(ids) + 1))
+                    flow.append(np.array([*ids, end], np.uint16))
+                    size += len(ids) + 1
+            if size >= HELD_TOKENS:
+                yield from emptied()
+                size = 0
+        yield from emptied()
 
     return run
 
 
-def _dealt(offsets: dict[int, int], total: int, key: int, length: int, shard_slots: int):
+def _laid(length: int, end: int):
+    """A stream's rows to packs (part, first, n, tokens, docs) of up to PACK sequences; documents lie in the order of (h, doc)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        from ledgerlink.llm.chars import slices
+
+        pack, unpack = zstandard.ZstdCompressor(6), zstandard.ZstdDecompressor()
+        for t, bounds in grouped(batches, ["stream"]):
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                docs = np.concatenate([np.frombuffer(unpack.decompress(x.as_py()), np.int64).reshape(-1, 4) for x in t.column("docs").slice(s, e - s)])
+                flow = np.concatenate([np.frombuffer(unpack.decompress(x.as_py()), "<u2") for x in t.column("tokens").slice(s, e - s)])
+                at = np.cumsum(docs[:, 3]) - docs[:, 3]
+                order = np.lexsort((docs[:, 3], docs[:, 2], docs[:, 1], docs[:, 0]))
+                docs, at = docs[order], at[order]
+                flow = slices(flow, at, docs[:, 3])
+                n = -(-len(flow) // length)
+                flow = np.append(flow, np.full(n * length - len(flow), end, np.uint16))
+                stop = np.cumsum(docs[:, 3])
+                for first in range(0, n, PACK):
+                    some = min(PACK, n - first)
+                    lo, hi = first * length, (first + some) * length
+                    mine = np.arange(np.searchsorted(stop, lo, "right"), np.searchsorted(stop - docs[:, 3], hi, "left"))
+                    begin, until = np.maximum(stop[mine] - docs[mine, 3], lo), np.minimum(stop[mine], hi)
+                    # docs: (doc, known, place in the pack, tokens).
+                    table = np.stack([docs[mine, 1], docs[mine, 2], begin - lo, until - begin], 1)
+                    row = [pa.array([t.column("stream")[s].as_py()], pa.int32()), pa.array([first], pa.int64()), pa.array([some], pa.int64()), pa.array([pack.compress(flow[lo:hi].tobytes())], pa.binary()), pa.array([pack.compress(table.tobytes())], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(row, ["part", "first", "n", "tokens", "docs"])
+
+    return run
+
+
+def _dealt(offsets, total: int, key: int, length: int, shard_slots: int):
     """Packs to (shard, slots, tokens, docs) of the sequences of each shard."""
 
     def run(batches):
@@ -125,11 +151,22 @@ def _dealt(offsets: dict[int, int], total: int, key: int, length: int, shard_slo
         import pyarrow as pa
         import zstandard
 
-        pack, unpack = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+        pack, unpack = zstandard.ZstdCompressor(6), zstandard.ZstdDecompressor()
+
+        def dealt(held):
+            slots, body = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            piece = np.concatenate([x[2] for x in held])
+            shard, of = slots // shard_slots, piece[:, 0] // shard_slots
+            for s in np.unique(shard):
+                own = np.flatnonzero(shard == s)
+                row = [pa.array([s], pa.int32()), pa.array([slots[own].tobytes()], pa.binary()), pa.array([pack.compress(body[own].tobytes())], pa.binary()), pa.array([pack.compress(piece[of == s].tobytes())], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["shard", "slots", "tokens", "docs"])
+
+        held = []
         for batch in batches:
             for r in batch.to_pylist():
                 n = r["n"]
-                slots = permuted(offsets[r["part"]] + r["first"] + np.arange(n), total, key)
+                slots = permuted(int(offsets[r["part"]]) + r["first"] + np.arange(n), total, key)
                 body = np.frombuffer(unpack.decompress(r["tokens"]), "<u2").reshape(n, length)
                 table = np.frombuffer(unpack.decompress(r["docs"]), np.int64).reshape(-1, 4)
                 # A document's stretch in each sequence it reaches.
@@ -138,11 +175,12 @@ def _dealt(offsets: dict[int, int], total: int, key: int, length: int, shard_slo
                 at = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 begin = np.maximum(np.repeat(table[:, 2], count), at * length)
                 stop = np.minimum(np.repeat(table[:, 2] + table[:, 3], count), (at + 1) * length)
-                piece = np.stack([slots[at], np.repeat(table[:, 0], count), np.repeat(table[:, 1], count), stop - begin], 1)
-                shard, of = slots // shard_slots, piece[:, 0] // shard_slots
-                for s in np.unique(shard):
-                    own = np.flatnonzero(shard == s)
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([slots[own].tobytes()], pa.binary()), pa.array([pack.compress(body[own].tobytes())], pa.binary()), pa.array([pack.compress(piece[of == s].tobytes())], pa.binary())], ["shard", "slots", "tokens", "docs"])
+                held.append((slots, body, np.stack([slots[at], np.repeat(table[:, 0], count), np.repeat(table[:, 1], count), stop - begin], 1)))
+                if len(held) >= DEALT_PACKS:
+                    yield from dealt(held)
+                    held = []
+        if held:
+            yield from dealt(held)
 
     return run
 
@@ -185,7 +223,7 @@ def _materialised(folder: str, length: int, shard_slots: int):
                 used = np.add.reduceat(np.append(pieces[:, 3], 0), cuts[:-1])
                 n = len(slots)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots), pa.array(np.full(n, shard)), pa.array([name] * n), pa.array((slots - slots[0]) * stride), pa.array(np.full(n, stride), pa.int64()), pa.array(used, pa.int64()), pa.array([zlib.crc32(b.tobytes()) for b in body], pa.int64()), pa.array(ids, pa.list_(pa.int64()))],
+                    [pa.array(slots), pa.array(np.full(n, shard, np.int64)), pa.array([name] * n), pa.array((slots - slots[0]) * stride), pa.array(np.full(n, stride), pa.int64()), pa.array(used, pa.int64()), pa.array([zlib.crc32(b.tobytes()) for b in body], pa.int64()), pa.array(ids, pa.list_(pa.int64()))],
                     ["slot", "shard", "file", "offset", "stride", "n_tokens", "crc32", "doc_ids"],
                 )
 
@@ -202,28 +240,36 @@ def materialise(docs: DataFrame, folder: str | None = None, vocabulary: str = VO
     by end after each document; ids are two little-endian bytes. n_tokens leaves
     out filling. doc_ids are the documents in a record, in order. Null and empty
     texts have no tokens; a null doc_id is null in doc_ids; repeated rows are
-    written each. No tokens give no shards. vocabulary: a tiktoken file that the
-    driver reads.
+    written each. No tokens give no shards. The order depends on doc_id, text
+    and key alone, not on partitions or further columns. vocabulary: a tiktoken
+    file that the driver reads.
     """
     spark = docs.sparkSession
     bounded_batches(spark, "4m")
     folder = folder or workspace(spark, "token-shards")
     with open(vocabulary, "rb") as f:
         ranks = f.read()
-    packs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sequences(ranks, pattern, length, end), "part long, first long, n long, tokens binary, docs binary")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    streams = max(1, -(-size // STREAM_BYTES))
+    h = F.xxhash64("doc_id", "text")
+    rows = docs.filter(F.octet_length("text") > 0).select(F.pmod(h, F.lit(streams)).cast("int").alias("stream"), h.alias("h"), F.col("doc_id").cast("long"), "text")
+    parts = rows.mapInArrow(_tokenised(ranks, pattern, end), "stream int, n long, docs binary, tokens binary")
+    packs = parts.repartitionById(streams, F.col("stream")).sortWithinPartitions("stream").mapInArrow(_laid(length, end), "part int, first long, n long, tokens binary, docs binary")
     packs = cut(packs, "token-packs")
-    # One row a partition of the input: where its sequences begin.
-    offsets, total = {}, 0
-    for r in packs.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
-        offsets[r["part"]] = total
-        total += r["n"]
+    del parts
+    release(spark)
+    # One number a stream: where its sequences begin.
+    counts = np.zeros(streams + 1, np.int64)
+    for r in packs.groupBy("part").agg(F.sum("n").alias("n")).collect():
+        counts[r["part"] + 1] = r["n"]
+    offsets, total = np.cumsum(counts)[:-1], int(counts.sum())
     if not total:
         return spark.createDataFrame([], SCHEMA)
     fs, home = _files(folder)
     fs.create_dir(home, recursive=True)
-    dealt = packs.mapInArrow(_dealt(offsets, total, key, length, shard_slots), "shard long, slots binary, tokens binary, docs binary")
+    dealt = packs.mapInArrow(_dealt(offsets, total, key, length, shard_slots), "shard int, slots binary, tokens binary, docs binary")
     shards = -(-total // shard_slots)
-    rows = dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_materialised(folder, length, shard_slots), SCHEMA)
+    rows = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(_materialised(folder, length, shard_slots), SCHEMA)
     return cut(rows, "token-index")
 
 
@@ -235,7 +281,10 @@ def read_sequences(folder: str, first: int, count: int, length: int = LENGTH, sh
     slot = first
     while slot < first + count:
         shard, at = divmod(slot, shard_slots)
-        with fs.open_input_file(posixpath.join(home, f"shard-{shard:08d}.bin")) as f:
+        name = posixpath.join(home, f"shard-{shard:08d}.bin")
+        if not fs.get_file_info(name).is_file:
+            return
+        with fs.open_input_file(name) as f:
             n = min(first + count - slot, shard_slots - at, f.size() // (2 * length) - at)
             if n <= 0:
                 return
