@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -41,8 +42,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the cluster remove shuffle files that nothing refers to any more, now and not at the driver's next collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    # What a collection finds dead may be named by events that are still on their way, so it takes a few.
+    for _ in range(4):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
