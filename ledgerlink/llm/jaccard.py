@@ -29,6 +29,8 @@ FREQUENT = 2
 CLASS_TOKENS = 6
 #: A chunk of a block: about so many nodes, and so many tokens.
 CHUNK_NODES, CHUNK_TOKENS = 512, 1 << 19
+#: Tasks that a large block's rows are dealt to before it is cut into chunks.
+SALTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -198,15 +200,10 @@ def _linked(num: int, den: int):
     return run
 
 
-def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): a row (doc_id, h, n, k1, k2) for each of docs, h its text's hash; a row (k1, k2, n, best) for each set.
 
-    Two documents link when den * shared >= num * union over their distinct
-    shingles of k words. component_id is the smallest doc_id reachable by links,
-    the document's own included; ids that are null count as none, and a
-    component with null ids only has a null one. Documents without words link
-    with nothing. Repeated rows are documents of their own; an empty table gives
-    no rows. All links between different sets take part; equal sets need none.
+    best is the first row of the set's component: id (doc_id, nulls last) and h.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -214,39 +211,57 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     width = 1.0001 * math.log(den / num)
     band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
     classes = lambda b: F.greatest(F.lit(1), F.ceil(F.exp(b * F.lit(width)) * (1 - num / den) / CLASS_TOKENS).cast("int"))
-    hashed = docs.select("doc_id", shingle_set(F.col("text"), k).alias("set")).select("doc_id", n.alias("n"), F.xxhash64("set").alias("k1"), F.hash("set").alias("k2"), "set")
-    hashed = hashed.select("doc_id", "n", "k1", "k2", F.when(F.col("n") > 0, F.slice("set", 1, missable + 1 + classes(band + 1))).alias("prefix"), F.monotonically_increasing_id().alias("rid"))
-    rows = cut(hashed, "jaccard-rows")
-    nodes = cut(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("node"), F.min("doc_id").alias("rep")), "jaccard-nodes")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), shingle_set(F.col("text"), k).alias("set"))
+    hashed = hashed.select("doc_id", "h", n.alias("n"), F.xxhash64("set").alias("k1"), F.hash("set").alias("k2"), "set")
+    prefix = F.when(F.col("n") > 0, F.slice("set", 1, missable + 1 + classes(band + 1)))
+    rows = cut(hashed.select("doc_id", "h", "n", "k1", "k2", prefix.alias("prefix"), F.monotonically_increasing_id().alias("rid")), "jaccard-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
+    nodes = cut(rows.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("node"), F.min(first).alias("rep")), "jaccard-nodes")
 
     # Signatures.
     own = rows.join(small(nodes.select(F.col("node").alias("rid")), 16), "rid", "left_semi")
     posted = own.select(F.col("rid").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
     often = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    hits = posted.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("token", "pos", (F.col("df") > FREQUENT).alias("many")))).alias("hits"))
+    hit = F.struct("token", "pos", (F.col("df") > FREQUENT).alias("many"))
+    hits = posted.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
     hits = hits.select("node", "n", "hits", F.explode(F.array(band, band + 1)).alias("band")).withColumn("classes", classes(F.col("band")))
     class_of = lambda token: F.pmod(F.xxhash64(token), F.col("classes"))
-    frequent = F.transform(F.filter("hits", lambda x: x["many"]), lambda x: F.struct(class_of(x["token"]).alias("c"), x["token"].alias("t"), x["pos"].alias("pos")))
-    hits = hits.withColumn("frequent", F.sort_array(frequent)).withColumn("end", missable + 1 + F.size(F.array_distinct(F.transform("frequent", lambda x: x["c"]))))
-    single = F.transform(F.filter("hits", lambda x: ~x["many"] & (x["pos"] < F.col("end"))), lambda x: F.xxhash64(x["token"], F.col("band")))
+    many = F.filter("hits", lambda x: x["many"])
+    frequent = F.transform(many, lambda x: F.struct(class_of(x["token"]).alias("c"), x["token"].alias("t"), x["pos"].alias("pos")))
+    hits = hits.withColumn("frequent", F.sort_array(frequent))
+    hits = hits.withColumn("end", missable + 1 + F.size(F.array_distinct(F.transform("frequent", lambda x: x["c"]))))
+    rare = F.filter("hits", lambda x: ~x["many"] & (x["pos"] < F.col("end")))
+    single = F.transform(rare, lambda x: F.xxhash64(x["token"], F.col("band")))
     later = lambda a, x, i: F.filter(F.slice(a, i + 2, F.greatest(F.size(a) - i - 1, F.lit(0))), lambda y: y["c"] == x["c"])
-    pairs = bind(F.filter("frequent", lambda x: x["pos"] < F.col("end")), lambda a: F.flatten(F.transform(a, lambda x, i: F.transform(later(a, x, i), lambda y: F.xxhash64(x["t"], y["t"], F.col("band"))))))
+    signature = lambda x, y: F.xxhash64(x["t"], y["t"], F.col("band"))
+    in_prefix = F.filter("frequent", lambda x: x["pos"] < F.col("end"))
+    pairs = bind(in_prefix, lambda a: F.flatten(F.transform(a, lambda x, i: F.transform(later(a, x, i), lambda y: signature(x, y)))))
     signed = cut(hits.select("node", "n", F.explode(F.concat(single, pairs)).alias("sig")), "jaccard-signed")
 
     # Blocks: under a signature, all go with the smallest node.
     leaders = signed.groupBy("sig").agg(F.min("node").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
     blocks = cut(signed.join(leaders, "sig").select("leader", "node", "n").distinct(), "jaccard-blocks")
     chunks = F.greatest(F.ceil(F.count("*") / CHUNK_NODES), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int")
-    blocks = blocks.join(blocks.groupBy(F.col("leader").alias("of")).agg(chunks.alias("chunks")), F.col("leader") == F.col("of"))
+    large = cut(blocks.groupBy(F.col("leader").alias("of")).agg(chunks.alias("chunks")).filter("chunks > 1"), "jaccard-large")
+    # Rows of a large block are dealt by salt as well, so that they do not meet in one task before they are cut.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    cuts = small(large.withColumn("salt", salts), 32 * SALTS)
+    salted = (F.col("leader") == F.col("of")) & (F.pmod(F.hash("node"), F.lit(SALTS)) == F.col("salt"))
+    blocks = blocks.join(cuts, salted, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine, other = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.col("other")
-    others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("mine")))
-    blocks = blocks.withColumn("mine", mine).withColumn("other", F.explode(others)).select("leader", F.least("mine", other).alias("lo"), F.greatest("mine", other).alias("hi"), "node")
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("mine"))
+    others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(others)
+    blocks = blocks.withColumn("mine", mine).withColumn("other", F.explode(others))
+    blocks = blocks.select("leader", F.least("mine", other).alias("lo"), F.greatest("mine", other).alias("hi"), "node")
 
     # Sketches thin the candidates, sets decide; both come from the candidates' texts.
     def of(wanted: DataFrame, sketch: bool) -> DataFrame:
-        keys = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "rep", F.col("k1").alias("q1"), F.col("k2").alias("q2"))
-        keys = small(cut(keys, "jaccard-wanted"), 48)
-        sets = docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "q1", "q2", shingle_set(F.col("text"), k).alias("set"))
+        keys = nodes.join(wanted.select("node").distinct(), "node", "left_semi")
+        keys = small(cut(keys.select("node", "rep", F.col("k1").alias("q1"), F.col("k2").alias("q2")), "jaccard-wanted"), 64)
+        # By id and text: rows without an id, or of one id, meet only those of their own text.
+        own = F.col("doc_id").eqNullSafe(F.col("rep.id")) & (F.col("h") == F.col("rep.h"))
+        sets = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(keys, own)
+        sets = sets.select("node", "q1", "q2", shingle_set(F.col("text"), k).alias("set"))
         sets = sets.select("node", "q1", "q2", "set", F.xxhash64("set").alias("k1"), F.hash("set").alias("k2"))
         sets = cut(sets.mapInArrow(_packed(sketch), "node long, n int, data binary"), "jaccard-sketches" if sketch else "jaccard-sets")
         return wanted.join(sets, "node").repartition(*unit).sortWithinPartitions(*unit).select(*unit, "node", "n", "data")
@@ -254,28 +269,45 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     unit = ["leader", "lo", "hi"]
     thin = cut(of(blocks, True).mapInArrow(_thinned(num, den), "leader long, lo int, hi int, node long"), "jaccard-thinned")
     edges = of(thin, False).mapInArrow(_linked(num, den), "a long, b long")
-
-    # Classes.
     roots = components(edges)
-    least = roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
-    linked = roots.join(least, "root").select(F.col("node").alias("of"), "least")
-    classes = nodes.join(linked, F.col("node") == F.col("of"), "left").select("k1", "k2", "n", F.coalesce("least", "rep").alias("component_id"))
-    found = rows.filter("n > 0").select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"])
+    best = roots.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("best"))
+    linked = nodes.join(roots.join(best, "root").select(F.col("node").alias("of"), "best"), F.col("node") == F.col("of"), "left")
+    return rows.drop("prefix", "rid"), linked.select("k1", "k2", "n", F.coalesce("best", "rep").alias("best"))
+
+
+def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
+
+    Two documents link when den * shared >= num * union over their distinct
+    shingles of k words. component_id is the smallest doc_id reachable by links,
+    the document's own included; ids that are null count as none, and a
+    component with null ids only has a null one. Documents without words link
+    with nothing. Repeated rows are documents of their own; an empty table gives
+    no rows. All links between different sets take part; equal sets need none.
+    """
+    rows, sets = _classes(docs, k, num, den)
+    named = sets.select("k1", "k2", "n", F.col("best.id").alias("component_id"))
+    found = rows.filter("n > 0").join(named, ["k1", "k2", "n"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     none = rows.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(none)
+    return found.unionByName(none)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without all but one document of each component: the one whose doc_id names it.
+    """docs, whole rows of any columns, without all but one row of each component.
 
-    Of rows that repeat that doc_id one stays. Documents without words, and
-    those without an id, stay.
+    The row that stays has the smallest doc_id (nulls last; of one id, the one
+    whose text has the smallest hash); of rows equal in doc_id and text the one
+    that is met first. Rows are told apart by doc_id and text, so other texts
+    under an id, or without one, stay unless they have a near copy themselves.
+    Documents without words stay, each of them. Columns may have any names.
     """
-    found = join(docs, k, num, den)
-    go = found.filter("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(go, "doc_id", "left_anti")
-    twins = cut(left.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "jaccard-twins")
-    if twins.isEmpty():
-        return left
-    once = left.join(twins, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twins, "doc_id", "left_anti").unionByName(once.select(left.columns))
+    found, sets = _classes(docs, k, num, den)
+    mine = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))
+    judged = found.filter("n > 0").join(sets, ["k1", "k2", "n"]).groupBy("doc_id", "h").agg(F.min(mine).alias("stays"), F.count("*").alias("copies"))
+    # Rows to look at again: those that go, and rows that repeat one that stays.
+    judged = cut(judged.filter("not stays or copies > 1").select(F.col("doc_id").alias("id"), F.col("h").alias("at"), "stays"), "jaccard-judged")
+    own = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("at"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    left = rows.join(small(judged, 32), own, "left_anti")
+    again = rows.join(small(judged.filter("stays"), 32), own, "left_semi").groupBy("doc_id", "h").agg(F.first("row").alias("row"))
+    return left.select("row.*").unionByName(again.select("row.*"))

@@ -81,11 +81,47 @@ def test_jaccard_in_chunks(docs, rows, monkeypatch):
     assert collections.Counter(tuple(r) for r in jaccard.join(docs).collect()) == brute_components(rows, 3, 90, 100)
 
 
-def test_one_of_each(docs, rows):
-    kept = [r["doc_id"] for r in jaccard.one_of_each(docs).collect()]
-    least = {c for (_, n, c) in brute_components(rows, 5, 80, 100) if n}
-    assert {x for x in kept if x is not None and x < 900} == {x for x in least if x is not None and x < 900}
-    assert len(kept) == len(set(kept))
+def test_one_of_each(spark, docs, rows):
+    """Of each component the row of the smallest id stays; every row is told apart by id and text."""
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect())
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for r in rows:
+        w = WORD.findall((r[1] or "").translate(low))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    groups, seen = [], set()
+    for i in range(len(rows)):
+        if i in seen or not sets[i]:
+            continue
+        seen.add(i)
+        stack, group = [i], []
+        while stack:
+            at = stack.pop()
+            group.append(at)
+            found = [j for j in range(len(rows)) if j not in seen and sets[j] and 100 * len(sets[at] & sets[j]) >= 80 * len(sets[at] | sets[j])]
+            seen.update(found)
+            stack += found
+        groups.append({(rows[j][0], rows[j][1]) for j in group})
+    assert len(groups) == sum(kept[x] for g in groups for x in g)
+    for g in groups:
+        (one,) = [x for x in g if kept[x]]
+        assert kept[one] == 1 and (one[0] is None) == all(x[0] is None for x in g)
+        assert one[0] is None or one[0] == min(x[0] for x in g if x[0] is not None)
+    assert sum(kept.values()) == len(groups) + sum(not s for s in sets)
+
+
+def test_one_of_each_by_row(spark):
+    a, b = "one two three four five six seven", "of quite another kind are these words here"
+    own = spark.createDataFrame([(1, a, 1), (2, a, 2), (2, b, 3), (None, a, 4), (None, b + " x", 5), (None, None, 6), (7, "", 7), (7, "", 8)], "doc_id long, text string, h int")
+    assert sorted(r["h"] for r in jaccard.one_of_each(own).collect()) == [1, 3, 6, 7, 8]
+
+
+def test_jaccard_without_ids(spark):
+    """Near copies without an id are compared by text: the work grows with their number."""
+    text = " ".join(f"word{i}" for i in range(200))
+    docs = spark.range(600).selectExpr("cast(null as long) doc_id", f"concat('{text}', ' end', id) text")
+    assert jaccard.join(docs).groupBy("n_shingles", "component_id").count().collect() == [(199, None, 600)]
+    assert jaccard.one_of_each(docs).count() == 1
 
 
 def test_components(spark):
@@ -94,32 +130,6 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, **{20 + i: 20 for i in range(31)}}
 
 
-def test_suffix_array():
-    rng = random.Random(4)
-    for _ in range(300):
-        s = np.array([rng.randint(1, rng.choice((2, 5, 250))) for _ in range(rng.randint(0, 50))], np.int64)
-        assert suffixes.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
-
-
-def test_repeated_bytes(docs, rows):
-    first = {}
-    for i, t, *_ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        b = (t or "").encode()
-        for j in range(len(b) - 49):
-            first.setdefault(b[j : j + 50], i)
-    want = collections.Counter()
-    for i, t, *_ in rows:
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for j in range(len(b) - 49):
-            f = first[b[j : j + 50]]
-            if f != i and (i is None or f < i):
-                gone[j : j + 50] = b"\1" * 50
-        left = bytes(x for x, g in zip(b, gone) if not g)
-        want[i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest()] += 1
-    assert collections.Counter(tuple(r) for r in suffixes.deduplicate(docs).collect()) == want
-
-
 def edits(p, t):
     row = [0] * (len(t) + 1)
     for i, x in enumerate(p, 1):
