@@ -3,7 +3,9 @@
 A benchmark item of m characters that occurs in a text with at most k edits
 shares at least m - q + 1 - k q of its q-grams with that place, on diagonals at
 most k apart. Shared q-grams are counted in overlapping diagonal bands of width
-2 (k + 1); bands that reach the bound are verified by banded alignment.
+2 (k + 1); bands that reach the bound are verified by banded alignment. Items
+with fewer than q characters have no q-gram and no edit to spare: they are sought
+as they are, as whole words.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from ledgerlink.llm.common import bounded_batches
 Q = 9
 #: Edits allowed a character of an item.
 EDITS = 0.08
-#: Items with fewer characters are too common to tell a leak and are not sought.
-MIN_CHARS = 32
 #: Characters of items that are indexed at once; a larger benchmark is sought in blocks.
 BLOCK_CHARS = 4_000_000
 #: Characters of text that are looked through at once.
 WINDOW = 1 << 20
+#: Pairs of a text's and an item's equal q-grams that are counted at once.
+PAIRS = 1 << 22
 
 
 def budget(m: int, q: int = Q, edits: float = EDITS) -> int:
@@ -58,7 +60,7 @@ def banded_distance(item, text, lead: int, k: int) -> int:
 
 
 class Index:
-    """q-grams of a block of items (id, folded text)."""
+    """q-grams of a block of items (id, folded text), each of q characters or more."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: float = EDITS):
         import numpy as np
@@ -92,13 +94,26 @@ class Index:
         i = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
         true = self.grams[i] == h[at]
         at, i = at[true], i[true]
-        times = self.count[i]
-        at = np.repeat(at, times)
-        where = np.repeat(self.first[i], times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        item, step = self.owner[where], self.k[self.owner[where]] + 1
-        # Diagonals are kept above 0 by the longest item.
-        band = (at - self.place[where] + self.span) // step
-        key, count = np.unique(item.astype(np.int64) << 40 | band, return_counts=True)
+        keys, counts = [], []
+        # A q-gram that an item repeats meets each of its places; they are counted in pieces of bounded size.
+        ends = np.cumsum(self.count[i])
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+            times = self.count[i[lo:hi]]
+            here = np.repeat(at[lo:hi], times)
+            where = np.repeat(self.first[i[lo:hi]], times) + np.arange(len(here)) - np.repeat(np.cumsum(times) - times, times)
+            item, step = self.owner[where], self.k[self.owner[where]] + 1
+            # Diagonals are kept above 0 by the longest item.
+            band = (here - self.place[where] + self.span) // step
+            key, count = np.unique(item.astype(np.int64) << 40 | band, return_counts=True)
+            keys.append(key)
+            counts.append(count)
+            lo = hi
+        if not keys:
+            return (np.zeros(0, np.int64),) * 3
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(back, np.concatenate(counts)).astype(np.int64)
         both = np.concatenate([key, key - 1])
         own, back = np.unique(both, return_inverse=True)
         total = np.bincount(back, np.concatenate([count, count])).astype(np.int64)
@@ -140,20 +155,51 @@ class Index:
         return [(n, item, *found) for (n, item), found in sorted(best.items())]
 
 
+class Words:
+    """Short items (id, folded text) as runs of words."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.runs: dict[tuple[str, ...], list[int]] = {}
+        for number, (_, text) in enumerate(items):
+            self.runs.setdefault(tuple(text.split()), []).append(number)
+        self.sizes = sorted({len(r) for r in self.runs})
+
+    def matches(self, texts: list[str]):
+        """(text number, item number, edits, start, shared q-grams): the first place of each item in each text."""
+        for n, text in enumerate(texts):
+            w = text.split(" ")
+            starts = [0]
+            for x in w:
+                starts.append(starts[-1] + len(x) + 1)
+            seen = set()
+            for size in self.sizes:
+                for i in range(len(w) - size + 1):
+                    if (run := tuple(w[i : i + size])) in self.runs and run not in seen:
+                        seen.add(run)
+                        yield from ((n, item, 0, starts[i], 0) for item in self.runs[run])
+
+
 def _search(items, q, edits):
+    """items are sorted: those shorter than q first."""
+    few = sum(len(t) < q for _, t in items)
+
     def run(batches):
         import pyarrow as pa
 
         from ledgerlink.llm.chars import folded
 
-        index = Index(items, q, edits)
+        words = Words(items[:few]) if few else None
+        index = Index(items[few:], q, edits) if few < len(items) else None
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            found = index.matches([folded(t) for t in batch.column(1).to_pylist()])
+            ids, texts = batch.column(0).to_pylist(), [folded(t) for t in batch.column(1).to_pylist()]
+            found = list(words.matches(texts)) if words else []
+            if index:
+                found += [(n, few + item, *more) for n, item, *more in index.matches(texts)]
             if found:
-                n, item, cost, start, shared = zip(*found)
+                n, item, cost, start, shared = zip(*sorted(found))
+                budgets = [budget(len(items[i][1]), q, edits) for i in item]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in n], pa.int64()), pa.array([index.items[i][0] for i in item], pa.int64()), pa.array(cost, pa.int32()), pa.array([int(index.k[i]) for i in item], pa.int32()), pa.array(start, pa.int64()), pa.array(shared, pa.int32())],
+                    [pa.array([ids[i] for i in n], pa.int64()), pa.array([items[i][0] for i in item], pa.int64()), pa.array(cost, pa.int32()), pa.array(budgets, pa.int32()), pa.array(start, pa.int64()), pa.array(shared, pa.int32())],
                     ["doc_id", "item_id", "edits", "edit_budget", "start", "shared_qgrams"],
                 )
 
@@ -165,28 +211,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDIT
 
     docs: doc_id, text; benchmark: item_id, text. Both texts are folded to lower
     case and single spaces; start counts characters of the folded text, of a
-    stretch that holds the item. Null and empty texts hold nothing, and no items
-    give no rows. Repeated documents and items each have their rows.
+    stretch that holds the item. Items of fewer than q characters are found where
+    they stand as whole words, without edits. Null and empty texts hold nothing,
+    null and empty items are nowhere, and no items give no rows. Repeated
+    documents and items each have their rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark, "4m")
     from ledgerlink.llm.chars import folded
 
-    sought = benchmark.filter(F.length("text") >= MIN_CHARS).select(F.col("item_id").cast("long"), "text")
+    sought = benchmark.filter(F.length("text") > 0).select(F.col("item_id").cast("long"), "text")
     blocks = max(1, -(-(sought.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     schema = "doc_id long, item_id long, edits int, edit_budget int, start long, shared_qgrams int"
     found = []
     for b in range(blocks):
         block = sought.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        items = [(r["item_id"], f) for r in block.collect() if len(f := folded(r["text"])) >= MIN_CHARS]
+        items = [(r["item_id"], f) for r in block.collect() if (f := folded(r["text"]))]
         if items:
-            items.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+            items.sort(key=lambda x: (len(x[1]) >= q, x[0] is None, x[0] or 0, x[1]))
             found.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_search(items, q, edits), schema))
     return functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item; documents without an id are looked at too."""
-    marked = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = leaks(marked.select(F.col("_key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct()
-    return marked.join(found, "_key", "left_anti").select(docs.columns)
+    """docs without those that hold a benchmark item; documents without an id are looked at too.
+
+    Whole rows stay or go, whatever further columns they have and however these
+    are named; rows of one doc_id and text share a fate.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    found = leaks(rows.select(F.col("key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(found, "key", "left_anti").select("row.*")

@@ -143,7 +143,7 @@ def edits(p, t):
 def test_leaks(spark):
     rng = random.Random(2)
     text = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))) for _ in range(n))
-    items = [(i, text(rng.randint(8, 30))) for i in range(8)] + [(8, "short"), (9, None)]
+    items = [(i, text(rng.randint(8, 30))) for i in range(8)] + [(8, None), (9, " ")]
     rows = [(0, None), (1, ""), (2, text(50))]
     for i in range(3, 30):
         p = list(rng.choice(items[:8])[1])
@@ -161,6 +161,27 @@ def test_leaks(spark):
     assert got == want and len(want) > 5
 
 
+def test_leaks_of_short_items(spark):
+    """Items of any length count: under q characters as whole words, under 2 q without edits."""
+    items = [(1, "what is two plus two? four"), (2, "Yes"), (3, "blue sky"), (4, "twelve chars"), (5, ""), (6, None)]
+    rows = [(1, "so: What is  two plus two? Four!"), (2, "yesterday, yes"), (3, "yesterday the blue skyline"), (4, "blue\n sky"), (5, "xx twelve charsyy"), (6, "twelve chans"), (7, "what is two plus tow? four")]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 1), (2, 2), (4, 3), (5, 4)]
+
+
+def test_leaks_in_long_runs(spark):
+    """A run of one character against an item of the same is counted in pieces."""
+    docs = spark.createDataFrame([(1, "a" * 60000), (2, "b " * 30000), (3, "a" * 500)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a" * 1500), (2, "b " * 400)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.leaks(docs, items).collect()) == [(1, 1, 0), (2, 2, 0)]
+
+
+def test_clean_keeps_whole_rows(spark):
+    docs = spark.createDataFrame([(1, "the leaked item is here", 1, "x", 2), (2, "nothing", 3, "y", 4), (None, "a leaked item", 5, "z", 6), (2, None, 7, None, 8)], "doc_id long, text string, key int, row string, _key int")
+    items = spark.createDataFrame([(1, "leaked item")], "item_id long, text string")
+    assert sorted(tuple(r)[2:] for r in decontaminate.clean(docs, items).collect()) == [(3, "y", 4), (7, None, 8)]
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice(("ta", "lo", "mi", "re", "su")) for _ in range(rng.randint(1, 3)))
