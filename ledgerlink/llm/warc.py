@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.common import bounded_batches, workspace
+from ledgerlink.llm.common import bounded_batches, cut, small, workspace
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads shorter than this are stored each time.
@@ -63,21 +63,34 @@ def _written(folder: str):
 
 
 def digested(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """pages with payload, payload_bytes, payload_digest and refers_to (null for responses).
+    """pages with payload (null for revisits), payload_bytes, payload_digest, refers_to and revisit.
 
     Of equal payloads of at least the given size the row with the smallest
-    page_id is the response (nulls last; of repeated rows, one); null html is an
-    empty payload.
+    page_id is the response (nulls last; of rows that repeat it, one with the
+    smallest url); null html is an empty payload. No row is told apart by its
+    place in the table.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url"), payload.alias("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    # The row number in the scan parts repeated rows; it is the same in both reads of the same files.
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("row").alias("at"))
-    first = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("copies")).filter("copies > 1").select(F.col("payload_digest").alias("digest"), "first")
-    joined = rows.join(first, F.col("payload_digest") == F.col("digest"), "left")
-    revisit = F.col("first").isNotNull() & (F.col("payload_bytes") >= least) & (F.col("first.at") != F.col("row"))
-    return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", F.when(revisit, F.col("first.id")).alias("refers_to"), revisit.alias("revisit"))
+    each = rows.filter(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("digest"), "page_id").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("n"))).alias("first")
+    several = cut(each.groupBy("digest").agg(first, F.sum("n").alias("copies")).filter("copies > 1").drop("copies"), "warc-copies")
+    # Payloads move only where the table of repeated ones is too large to go to them.
+    joined = rows.join(small(several, 128), (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= least), "left")
+    joined = joined.withColumn("mine", F.col("first").isNotNull() & F.col("page_id").eqNullSafe(F.col("first.id")))
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to", "revisit"]
+    settled = joined.filter(~F.col("mine") | (F.col("first.n") == 1)).withColumn("revisit", F.col("first").isNotNull() & ~F.col("mine"))
+    settled = settled.withColumn("refers_to", F.when(F.col("revisit"), F.col("first.id"))).withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
+    if several.filter("first.n > 1").isEmpty():
+        return settled.select(columns)
+    # Rows that repeat the page that is the response: counted by url, one of them keeps the payload.
+    twins = joined.filter(F.col("mine") & (F.col("first.n") > 1))
+    counted = twins.groupBy("digest", "page_id", "payload_bytes", "payload_digest", "url").agg(F.count("*").alias("n"), F.first("payload").alias("payload"))
+    lead = counted.groupBy(F.col("digest").alias("of")).agg(F.min(F.struct(F.col("url").isNull().alias("none"), F.col("url").alias("url"))).alias("lead"))
+    counted = counted.join(lead, F.col("digest") == F.col("of")).withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    counted = counted.withColumn("revisit", (F.col("no") > 1) | ~F.col("url").eqNullSafe(F.col("lead.url")))
+    counted = counted.withColumn("refers_to", F.when(F.col("revisit"), F.col("page_id"))).withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
+    return settled.select(columns).unionByName(counted.select(columns))
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
@@ -197,13 +210,14 @@ def _read(folder: str):
 def read(spark: SparkSession, manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of the archives (name, bytes) under folder, one row each; see SCHEMA.
 
-    Ranges of split_bytes are dealt to tasks; a record is read by the one whose
-    range has its first byte. Revisits have no payload, but its size and digest.
+    Ranges of split_bytes are dealt to tasks, about one to each; a record is read
+    by the one whose range has its first byte. Revisits have no payload, but its size and digest.
     """
     last = F.greatest(F.ceil(F.col("bytes") / split_bytes) - 1, F.lit(0))
     splits = manifest.filter("bytes > 0").select("name", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("no"))
     splits = splits.select("name", "bytes", (F.col("no") * split_bytes).alias("lo"), F.least((F.col("no") + 1) * split_bytes, F.col("bytes")).alias("hi"))
-    return splits.repartition("name", "lo").mapInArrow(_read(folder), SCHEMA)
+    # Ranges, as many as splits: a number that is given is not coalesced, so each split has its task.
+    return splits.repartitionByRange(max(1, splits.count()), "name", "lo").mapInArrow(_read(folder), SCHEMA)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
