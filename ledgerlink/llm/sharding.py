@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ledgerlink.llm.common import workspace
 
 SLOTS = 4096
+#: Share of a shard's bytes by which shards may differ before slots move.
+EVEN = 0.002
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -35,37 +37,47 @@ def slot_sums(rows: DataFrame) -> list[tuple[int, int, int]]:
     return sorted((r["virtual_slot"], r["n"], r["bytes"]) for r in sums)
 
 
-def assign(weights: dict[int, int], shards: int) -> dict[int, int]:
-    """Slots to shards, heaviest first, each to the lightest shard so far."""
-    heap, out = [(0, s) for s in range(shards)], {}
-    for slot, weight in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (load + weight, shard))
-    return out
-
-
 def rebalance(plan: dict[int, int], weights: dict[int, int], shards: int) -> dict[int, int]:
     """The map edited for shards (more or fewer than now), with few slots moved.
 
     Slots of shards that go move to the lightest shards. Those that a shard holds
-    beyond an even load move to new shards only; all others stay where they are.
+    beyond an even load move to new shards only, or where there are none to the
+    lightest; all others stay where they are. Empty slots are spread by number. A
+    map whose loads differ by no more than EVEN is left as it is.
     """
     new = range(max(plan.values(), default=-1) + 1, shards)
     even = sum(weights.values()) / shards
-    load, out, loose = dict.fromkeys(range(shards), 0), {}, []
+    now = dict.fromkeys(range(shards), 0)
+    for slot, shard in plan.items():
+        now[shard] = now.get(shard, 0) + weights.get(slot, 0)
+    if plan and len(now) == shards and not new and max(now.values()) - min(now.values()) <= EVEN * even:
+        return dict(plan)
+    load, held, out, loose = dict.fromkeys(range(shards), 0), dict.fromkeys(range(shards), 0), {}, []
+    most = -(-len(plan) // shards)
+
+    def put(slot: int, shard: int) -> None:
+        out[slot] = shard
+        load[shard] += weights.get(slot, 0)
+        held[shard] += 1
+
     for slot in sorted(plan, key=lambda s: (-weights.get(s, 0), s)):
         shard, weight = plan[slot], weights.get(slot, 0)
-        if shard < shards and load[shard] + weight <= even:
-            out[slot] = shard
-            load[shard] += weight
+        if shard < shards and (load[shard] + weight <= even if weight else held[shard] < most):
+            put(slot, shard)
         else:
             loose.append(slot)
-    for slot in loose:
-        own = plan[slot]
-        shard = min([*new, own] if own < shards else range(shards), key=lambda s: (load[s], s))
-        out[slot] = shard
-        load[shard] += weights.get(slot, 0)
+    # Slots with bytes go by load, empty ones by number, each to the least so far.
+    for weighted in (True, False):
+        rank = lambda s: (load[s] if weighted else held[s], held[s], s)
+        every, fresh = [sorted(map(rank, own)) for own in (range(shards), new)]
+        for slot in loose:
+            if (weights.get(slot, 0) > 0) == weighted:
+                own = plan[slot]
+                heap = fresh if own < shards and new else every
+                # An entry that is out of date is lower than the truth: it is put right when it comes up.
+                while (least := rank(heap[0][2])) != heap[0]:
+                    heapq.heapreplace(heap, least)
+                put(slot, own if own < shards and new and rank(own) < heap[0] else heap[0][2])
     return out
 
 
@@ -96,17 +108,27 @@ class SlotMap:
 def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """All records with their shard, near equal in bytes, and place in it.
 
+    The map under path is edited, never made anew: where there is none, version
+    1 deals the slots out in turn; the bytes of the slots then give the next
+    version, by rebalance(), unless it equals the last.
+
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (place in the
     shard, gapless from 0), grown_shard (null: the map, not the count of shards,
-    decides), virtual_slot, map_version. An empty table gives no rows.
+    decides), virtual_slot, map_version. Slots hash doc_id and text, so that
+    documents of equal text spread over the shards. An empty table gives no rows.
     """
     spark, rows = docs.sparkSession, records(docs, slots)
     sums = slot_sums(rows)
     weights = {s: b for s, _, b in sums}
     store = SlotMap(spark, path or workspace(spark, "slot-map"))
-    version = max(store.versions(), default=0) + 1
-    store.store(version, assign(weights | {s: 0 for s in range(slots) if s not in weights}, shards), weights)
-    plan = {r["virtual_slot"]: r["shard"] for r in store.load(version).collect()}
+    if not (versions := store.versions()):
+        store.store(1, {s: s % shards for s in range(slots)}, {})
+        versions = [1]
+    version = versions[-1]
+    last = {r["virtual_slot"]: r["shard"] for r in store.load(version).collect()}
+    if (plan := rebalance(last, weights, shards)) != last:
+        version += 1
+        store.store(version, plan, weights)
     first, at = [], dict.fromkeys(range(shards), 0)
     for slot, n, _ in sums:
         first.append((slot, plan[slot], at[plan[slot]]))
