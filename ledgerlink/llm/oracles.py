@@ -39,14 +39,14 @@ WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {words("coalesce(tex
 g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) >= 5),
 h AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 c AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM h) x GROUP BY doc_id),
-b AS (SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+b AS (SELECT doc_id, lang, text, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         length(text) - length(replace(text, '!', '')) AS n_marks, length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS n_upper,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
-f AS (SELECT b.doc_id, lang, CAST(n_words AS BIGINT) AS n_words, greatest(n_words, 1)::DOUBLE AS nw, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_marks, n_upper,
+f AS (SELECT b.doc_id, lang, text, CAST(n_words AS BIGINT) AS n_words, greatest(n_words, 1)::DOUBLE AS nw, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_marks, n_upper,
         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
         (n_words < 10 OR 100 * coalesce(c.n, 0) > 20 * n_words) AS base_failed FROM b LEFT JOIN c ON c.doc_id = b.doc_id),
 l AS (SELECT doc_id, min(quality) AS label FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
-held AS (SELECT f.*, label FROM f JOIN l ON l.doc_id = f.doc_id WHERE NOT base_failed),
+held AS (SELECT f.*, min(label) OVER (PARTITION BY lang, text) AS label FROM f JOIN l ON l.doc_id = f.doc_id WHERE NOT base_failed QUALIFY row_number() OVER (PARTITION BY lang, text) = 1),
 grid(rule, rank, cutoff) AS (VALUES {grid}),
 k AS (SELECT lang AS stratum, rule, rank, cutoff, sum(label) AS good, count(*) FILTER (label = 1 AND {look} > cutoff) AS false_, count(*) FILTER (label = 0 AND {look} > cutoff) AS caught FROM held, grid GROUP BY ALL),
 p AS (SELECT k.*, CASE WHEN false_ >= good * {risk}::DOUBLE THEN 1.0 ELSE (SELECT sum(exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({risk}::DOUBLE) + (good - i) * ln(1 - {risk}::DOUBLE))) FROM range(0, CAST(false_ + 1 AS BIGINT)) r(i)) END AS p FROM k),
@@ -67,4 +67,5 @@ w AS (SELECT doc_id, unit, string_split(trim(regexp_replace(translate(part, '{UP
 g AS (SELECT doc_id, CAST(unit AS INTEGER) AS unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM w WHERE len(w) > 1),
 j AS (SELECT doc_id, unit, len(s) AS n, template, len(m) AS k, len(list_intersect(s, m)) AS c FROM g, t WHERE {num} * (len(s) + len(m)) <= 2 * {den} * least(len(s), len(m)))
 SELECT doc_id, unit, CAST(n AS INTEGER) AS unit_bigrams, template, CAST(c AS INTEGER) AS shared, CAST(k AS INTEGER) AS template_bigrams, 2.0::DOUBLE * c / (n + k) AS dice FROM j WHERE 2 * {den} * c >= {num} * (n + k)
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY 2.0::DOUBLE * c / (n + k) DESC, template) = 1
 """

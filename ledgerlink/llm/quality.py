@@ -62,7 +62,7 @@ def _repeated(w: Column) -> Column:
 
 
 def features(docs: DataFrame, *kept: str) -> DataFrame:
-    """doc_id, the columns kept, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks, base_failed.
+    """doc_id, the columns kept, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks, text_hash, base_failed.
 
     Null and empty texts have zeros everywhere and fail the base rule.
     """
@@ -79,8 +79,8 @@ def features(docs: DataFrame, *kept: str) -> DataFrame:
     line_sizes = bind(lines, lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("own")))
     less = lambda characters: (F.octet_length(text) - F.octet_length(_without(text, characters))).cast("long")
     upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long")
-    df = docs.select("doc_id", *kept, bind(words(text), measured).alias("w"), line_sizes.alias("l"), less(SYMBOLS).alias("n_symbols"), less("!").alias("n_marks"), upper.alias("n_upper"))
-    df = df.select("doc_id", *kept, "w.*", "n_symbols", (F.col("l.all") - F.col("l.own")).cast("long").alias("n_dup_lines"), F.col("l.all").cast("long").alias("n_lines"), "n_upper", "n_marks")
+    df = docs.select("doc_id", *kept, bind(words(text), measured).alias("w"), line_sizes.alias("l"), less(SYMBOLS).alias("n_symbols"), less("!").alias("n_marks"), upper.alias("n_upper"), F.xxhash64("text").alias("text_hash"))
+    df = df.select("doc_id", *kept, "w.*", "n_symbols", (F.col("l.all") - F.col("l.own")).cast("long").alias("n_dup_lines"), F.col("l.all").cast("long").alias("n_lines"), "n_upper", "n_marks", "text_hash")
     return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -118,11 +118,15 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float =
     """stratum, rule, cutoff, n_good, n_false, n_caught, p_value: the certified choice of each rule.
 
     measured: features() with a column stratum. labels: doc_id, quality (1 good,
-    0 bad); nulls are left out, and so are documents labelled both ways.
+    0 bad); nulls are left out, and so are documents labelled both ways. Copies
+    of a text in one stratum are one trial, a bad one if any copy is labelled so:
+    the binomial bounds are for independent trials.
     """
     agreed = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     agreed = agreed.filter("low = high").select("doc_id", F.col("low").alias("label"))
     held = measured.filter(~F.col("base_failed")).join(agreed, "doc_id")
+    looked = F.first(F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"))
+    held = held.groupBy(stratum, "text_hash").agg(F.min("label").alias("label"), looked.alias("m")).select(stratum, "label", "m.*")
     looks = ratios()
     rules = [(r, j, c) for r, cs in GRID.items() for j, c in enumerate(cs)]
     hit = lambda r, c, label: F.sum(((looks[r] > c) & (F.col("label") == label)).cast("long"))
