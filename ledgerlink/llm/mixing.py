@@ -1,6 +1,7 @@
 """Mixing sources to target weights.
 
-Each source's words, laid end to end, are packed into fixed-length blocks. The
+Each source's words, laid end to end, are packed into blocks of a fixed length,
+a shorter one for sources of a few blocks only, so that their targets can be met. The
 mix is a row of output slots, one block each, dealt into output shards of fixed
 length; every shard draws multinomial counts of sources. A source's slots are
 numbered, each pass over its blocks uses another pseudorandom permutation of
@@ -18,6 +19,8 @@ from ledgerlink.llm.common import cut, permuted, sides, uniform, words
 #: Sources are summed to one row each and planned on the driver; more are refused.
 MAX_SOURCES = 100_000
 BUCKETS = 1024
+#: A source has about so many blocks at least, as far as it has words.
+LEAST_BLOCKS = 64
 
 
 def targets(sizes: list[int], weights: tuple[int, ...], cap: float) -> list[float]:
@@ -56,8 +59,8 @@ class Mix:
     """A planned mix of docs (doc_id, text, source and any more columns).
 
     weights: by the sources' code-point order, null last, repeating. cap: most
-    times a source, and so any document, is used. block_words: words a block.
-    shard_slots: slots an output shard.
+    times a source, and so any document, is used. block_words: words a block, at
+    most. shard_slots: slots an output shard.
 
     Null text counts as empty; a document without words is never taken. A null
     source is a source of its own. Repeated rows are separate documents. An
@@ -65,7 +68,7 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, block_words: int = 128, shard_slots: int = 65536, seed: int = 11):
-        self.spark, self.docs, self.block, self.seed = docs.sparkSession, docs, block_words, seed
+        self.spark, self.docs, self.seed = docs.sparkSession, docs, seed
         sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
         self.base = cut(sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(BUCKETS)).cast("int")), "mix-base")
         found = self.base.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
@@ -74,10 +77,11 @@ class Mix:
         found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         names, sizes = [r["source"] for r in found], [int(r["size"]) for r in found]
         goal = targets(sizes, weights, cap)
-        blocks = [-(-s // block_words) for s in sizes]
+        widths = [max(1, min(block_words, s // LEAST_BLOCKS)) for s in sizes]
+        blocks = [-(-s // w) for s, w in zip(sizes, widths)]
         quota = [min(cap * n, round(n * g / s)) if s else 0 for n, g, s in zip(blocks, goal, sizes)]
-        rows = [(i, names[i], sizes[i], goal[i], blocks[i], *sides(blocks[i]), quota[i]) for i in range(len(names))]
-        self.sources = self.spark.createDataFrame(rows, "sid int, source string, source_size long, target double, blocks long, a long, b long, quota long")
+        rows = [(i, names[i], sizes[i], goal[i], widths[i], blocks[i], *sides(blocks[i]), quota[i]) for i in range(len(names))]
+        self.sources = self.spark.createDataFrame(rows, "sid int, source string, source_size long, target double, width long, blocks long, a long, b long, quota long")
         self.quota, self.shard_slots = quota, shard_slots
 
     def drawn(self) -> DataFrame:
@@ -111,7 +115,9 @@ class Mix:
             n = min(hi - lo, end - at)
             moves.append((s, lo, lo + n, t, at - lo))
             over[-1][1], under[-1][1] = lo + n, at + n
-            over, under = [x for x in over if x[1] < x[2]], [x for x in under if x[1] < x[2]]
+            for left in (over, under):
+                if left[-1][1] == left[-1][2]:
+                    left.pop()
         moved = F.broadcast(self.spark.createDataFrame(moves, "sid int, lo long, hi long, to int, shift long"))
         rank = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot"))
         numbered = drawn.withColumn("rank", rank).join(offsets, ["shard", "sid"]).withColumn("k", F.col("before") + F.col("rank") - 1)
@@ -124,18 +130,18 @@ class Mix:
 
     def placed(self) -> DataFrame:
         """Documents with start: the words before theirs in their source."""
-        base = self.base.join(F.broadcast(self.sources.select("sid", F.col("source").alias("name"), "source_size", "target")), F.col("source").eqNullSafe(F.col("name")))
+        base = self.base.join(F.broadcast(self.sources.select("sid", F.col("source").alias("name"), "source_size", "target", "width")), F.col("source").eqNullSafe(F.col("name")))
         bucket = base.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
         ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         bucket = bucket.select(F.col("sid").alias("at"), F.col("bucket").alias("in"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
         inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
         base = base.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        return base.join(bucket, (F.col("sid") == F.col("at")) & (F.col("bucket") == F.col("in"))).select("doc_id", "source", "tie", "size", "sid", "source_size", "target", (F.col("before") + F.col("inside")).alias("start"))
+        return base.join(bucket, (F.col("sid") == F.col("at")) & (F.col("bucket") == F.col("in"))).select("doc_id", "source", "tie", "size", "sid", "source_size", "target", "width", (F.col("before") + F.col("inside")).alias("start"))
 
     def pieces(self) -> DataFrame:
         """Each document's overlap with each of its blocks: block, lo, hi (words of the document), times."""
         times = self.slots().groupBy(F.col("sid").alias("at"), F.col("block").alias("no")).agg(F.count("*").alias("times"))
-        docs, n = self.placed().filter("size > 0"), F.lit(self.block)
+        docs, n = self.placed().filter("size > 0"), F.col("width")
         span = F.sequence(F.floor(F.col("start") / n), F.floor((F.col("start") + F.col("size") - 1) / n))
         docs = docs.withColumn("block", F.explode(span)).withColumn("lo", F.greatest(F.col("block") * n - F.col("start"), F.lit(0))).withColumn("hi", F.least(F.col("block") * n + n - F.col("start"), F.col("size")))
         return docs.join(times, (F.col("sid") == F.col("at")) & (F.col("block") == F.col("no")), "left").drop("at", "no").withColumn("times", F.coalesce("times", F.lit(0)))
@@ -152,8 +158,9 @@ class Mix:
         """The mix as rows of docs: for each copy of a document, its runs of taken words.
 
         A document all of whose blocks are taken once comes out whole; one whose
-        blocks are not, in parts. Columns and types are those of docs; text is
-        the run as written, with the white space before its words.
+        blocks are not, in parts. Columns, of any names, and types are those of
+        docs; text is the run as written, with the white space before its words,
+        and n_chars, if there is one, its length.
         """
         runs = self.pieces().filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
         keys = ["doc_id", "tie", "start", "copy"]
@@ -163,16 +170,16 @@ class Mix:
         # Repeated rows share doc_id and tie; one number each keeps them apart on both sides.
         own = Window.partitionBy("doc_id", "tie", "source")
         runs = runs.withColumn("twin", F.dense_rank().over(own.orderBy("start")))
-        docs = self.docs.withColumn("_tie", F.xxhash64("text"))
-        docs = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_tie", "source").orderBy("doc_id")))
-        runs = runs.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.col("source").alias("_s"), "twin", "lo", "hi", F.col("size").alias("_size"))
+        # The caller's columns stay together in row, whatever their names.
+        docs = self.docs.select(F.struct(*[F.col(f"`{c}`") for c in self.docs.columns]).alias("row"), "doc_id", "source", F.xxhash64("text").alias("tie"))
+        docs = docs.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "tie", "source").orderBy("doc_id")))
+        runs = runs.select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), F.col("source").alias("s"), "twin", "lo", "hi", "size")
         # Exact copies with many runs are drawn to several documents; hot ids are left to the adaptive join.
-        on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("twin"))
-        joined = docs.join(runs, on)
-        inked = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+        on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("n") == F.col("twin"))
+        joined, was = docs.join(runs, on), F.col("row.text")
+        inked = F.regexp_extract_all(was, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
         part = F.array_join(F.slice(inked, (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), "")
-        whole = (F.col("lo") == 0) & (F.col("hi") == F.col("_size"))
-        text = F.when(whole, F.col("text")).otherwise(part)
+        text = F.when((F.col("lo") == 0) & (F.col("hi") == F.col("size")), was).otherwise(part)
         fields = {f.name: f.dataType for f in self.docs.schema.fields}
         made = {"text": text} | ({"n_chars": F.length(text).cast(fields["n_chars"])} if "n_chars" in fields else {})
-        return joined.select(*[made[c].alias(c) if c in made else F.col(c) for c in self.docs.columns])
+        return joined.select(*[made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in self.docs.columns])
