@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import math
+import re
+import shutil
 import tempfile
 import time
 import uuid
@@ -23,12 +26,18 @@ _local: dict[str, str] = {}
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables, under spark.checkpoint.dir.
 
-    Only where that setting is absent, as in tests on one machine, is a
-    temporary folder of this process used.
+    Only where that setting is absent and the master is this machine, as in
+    tests, is a temporary folder of this process used, and removed at its end.
+    On a cluster without that setting there is no folder that all see: an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="ledgerlink-"))
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _local:
+            _local["dir"] = tempfile.mkdtemp(prefix="ledgerlink-")
+            atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)
+        base = "file://" + _local["dir"]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

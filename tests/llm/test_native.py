@@ -64,6 +64,21 @@ def test_mix(spark, docs):
     assert all(words[s] == taken[s] for s in own)
 
 
+def test_mix_of_small_sources_comes_near(spark):
+    rows = [(i, "w " * n, s) for s, n, k in (("a", 50, 1), ("b", 7, 3), ("c", 400, 4), ("d", 1, 1), (None, 90, 2)) for i in range(k)]
+    taken, goal = collections.Counter(), {}
+    for r in mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).taken().collect():
+        taken[r["source"]] += r["taken"]
+        goal[r["source"]] = r["target"]
+    assert all(abs(taken[s] - g) <= 1 + g / 30 for s, g in goal.items())
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "some words of a text " * 9, "ab"[i % 2], i, i, i, i, i, i) for i in range(6)], "doc_id long, text string, source string, lo int, hi int, twin int, row int, _n int, tie int")
+    for r in mixing.Mix(docs).texts().collect():
+        assert set(r[3:]) == {r["doc_id"]}
+
+
 def test_multinomial(spark):
     big = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"), F.repeat(F.lit("w "), 500).alias("text"))
     mix = mixing.Mix(big, block_words=1, shard_slots=2000)
@@ -97,12 +112,33 @@ def test_shards(spark, docs, tmp_path):
     assert all(r["text_crc32"] == zlib.crc32(b"x" * (r["size"] - 1)) for r in rows)
     assert sharding.shard(docs, 4).count() == len(ROWS)
     store = sharding.SlotMap(spark, f"file://{tmp_path}/map")
-    assert store.versions() == [1]
+    assert store.versions() == [1, 2]  # slots in turn, then edited by their bytes
+
+
+def test_the_stored_map_is_edited(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 7 % 90).cast("int")).alias("text"))
+    at = lambda rows: {r["virtual_slot"]: r["shard"] for r in rows}
+    before, again, grown = (sharding.shard(docs, n, path=path).collect() for n in (8, 8, 9))
+    assert at(before) == at(again) and {r["map_version"] for r in again} == {2} and {r["map_version"] for r in grown} == {3}
+    moved = [s for s, k in at(grown).items() if k != at(before)[s]]
+    assert {at(grown)[s] for s in moved} == {8}
+    assert sum(r["size"] for r in grown if r["virtual_slot"] in set(moved)) < 0.13 * sum(r["size"] for r in grown)
+    load, held = collections.Counter(), collections.Counter(r["shard"] for r in sharding.SlotMap(spark, path).load(3).collect())
+    for r in grown:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) <= 400 and max(held.values()) < 2 * min(held.values())
+    assert all(sorted(r["slot"] for r in grown if r["shard"] == s) == list(range(sum(r["shard"] == s for r in grown))) for s in range(9))
+
+
+def test_empty_slots_spread():
+    plan = sharding.rebalance({s: 0 for s in range(100)}, {1: 5, 2: 5}, 4)
+    assert set(collections.Counter(plan.values()).values()) <= {24, 25, 26}
 
 
 def test_rebalance_moves_into_new_shards_only():
     weights = {s: 10 + s % 3 for s in range(400)}
-    plan = sharding.assign(weights, 4)
+    plan = sharding.rebalance({s: s % 4 for s in weights}, weights, 4)
     grown = sharding.rebalance(plan, weights, 5)
     assert {grown[s] for s in plan if grown[s] != plan[s]} == {4}
     load = collections.Counter()
@@ -143,8 +179,8 @@ def test_binomial(spark):
 
 
 def test_certified_cutoffs(spark):
-    good = [(i, "plain words of a good text that goes on and on for a while yet", "en") for i in range(3000)]
-    bad = [(10_000 + i, "bad%% words** of## a$$ bad&& text|| that<< goes>> on%% and** on##", "en") for i in range(300)]
+    good = [(i, f"plain words of a good text that goes on and on for a while yet {i}", "en") for i in range(3000)]
+    bad = [(10_000 + i, f"bad%% words** of## a$$ bad&& text|| that<< goes>> on%% and** on## {i}", "en") for i in range(300)]
     few = [(20_000 + i, "bad%% words** of## a$$ bad&& text|| that<< goes>> on%% and** on##", "de") for i in range(5)]
     docs = spark.createDataFrame([*good, *bad, *few], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i, _, _ in good] + [(i, 0) for i, _, _ in bad + few] + [(None, 1), (10_001, 1)], "doc_id long, quality int")
@@ -153,6 +189,15 @@ def test_certified_cutoffs(spark):
     assert all(kept[i] for i, _, _ in few)  # too few labels in that stratum for a guarantee
 
 
+def test_copies_are_one_trial(spark):
+    """Thousands of labelled copies of one text are no evidence of a low rate."""
+    good = [(i, "plain words of a good text that goes on and on for a while yet", "en") for i in range(3000)]
+    bad = [(10_000 + i, "bad%% words** of## a$$ bad&& text|| that<< goes>> on%% and** on##", "en") for i in range(300)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in good] + [(i, 0) for i, _, _ in bad], "doc_id long, quality int")
+    assert quality.judge(docs, labels).filter("not kept").count() == 0
+
+
 def test_licences(spark, docs):
     rows = [(1, licenses.TEMPLATES["mit"]), (2, "intro line\nReleased under the MIT License.\nmore text of no licence"), (3, "no licence at all here"), (4, None), (5, "")]
     found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
