@@ -1,4 +1,9 @@
-"""From raw documents to token shards: each stage works on all that the one before it kept."""
+"""From raw documents to token shards: each stage works on all that the one before it kept.
+
+Stages but the last return the columns they were given, whatever further ones
+there are and however they are named. Null ids and texts, repeated rows and
+empty tables are as the operators say.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +16,9 @@ from ledgerlink.llm.common import cut, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a certified cutoff rejects go."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    judged = quality.judge(keyed.select("doc_id", "text", "lang", "_key"), table(spark, sf_dir, "labels"), kept=("_key",))
-    return keyed.join(judged.filter("kept").select("_key").distinct(), "_key", "left_semi").select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("key"))
+    judged = quality.judge(rows.drop("row"), table(spark, sf_dir, "labels"), kept=("key",))
+    return rows.join(judged.filter("kept").select("key").distinct(), "key", "left_semi").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
