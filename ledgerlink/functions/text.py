@@ -6,19 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
 def _base_letters() -> tuple[str, str]:
-    """Letters of U+00C0..U+024F that decompose to one ASCII letter and marks, and that letter."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii():
-            pairs.append((chr(code), base))
+    """Characters that decompose to one ASCII letter or digit and marks, and that letter: accents, full width, and so on."""
+    pairs = [(chr(code), base) for code in range(0x80, 0x10000) if not 0xD800 <= code < 0xE000 and len(base := _plain(chr(code))) == 1 and base.isascii() and base.isalnum()]
     # Letters with a stroke, which do not decompose.
     pairs += [("ł", "l"), ("Ł", "L"), ("ø", "o")]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def _ligatures() -> list[tuple[str, str]]:
+    """Ligatures and digraphs of Latin letters that decompose to several ASCII letters."""
+    codes = [*range(0xC0, 0x250), *range(0xFB00, 0xFB07)]
+    return [(chr(c), base) for c in codes if len(base := _plain(chr(c))) > 1 and base.isascii() and base.isalpha()]
+
+
 LETTERS, BASES = _base_letters()
+# Letters that stand for two but do not decompose.
+LIGATURES = [("ß", "ss"), ("æ", "ae"), *_ligatures()]
+# Weights of the digits of a nine- and a fourteen-digit REGON.
+REGON_WEIGHTS = (8, 9, 2, 3, 4, 5, 6, 7), (2, 4, 8, 5, 0, 9, 7, 3, 6, 1, 2, 4, 8)
 
 # Legal forms as folded phrases.
 LEGAL_FORMS = [
@@ -44,9 +54,10 @@ EDGE = " -–—:,.\"'„”»«"
 
 
 def fold(x: Column) -> Column:
-    """Without diacritics, lower case, only [0-9a-z] words single-spaced."""
-    x = F.replace(F.replace(x, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae"))
-    return F.trim(F.regexp_replace(F.lower(F.translate(x, LETTERS, BASES)), "[^0-9a-z]+", " "))
+    """Without diacritics, composed or not, lower case, only [0-9a-z] words single-spaced."""
+    for two, plain in LIGATURES:
+        x = F.replace(x, F.lit(two), F.lit(plain))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(x, LETTERS, BASES)), r"\p{M}+", ""), "[^0-9a-z]+", " "))
 
 
 def company_name(x: Column) -> Column:
@@ -124,8 +135,8 @@ def is_nip(x: Column) -> Column:
 
 def is_regon(x: Column) -> Column:
     d = digits(x)
-    nine = _weighted(d, (8, 9, 2, 3, 4, 5, 6, 7)) % 11 % 10 == F.substring(d, 9, 1).cast("int")
-    long = _weighted(d, (2, 4, 8, 5, 0, 9, 7, 3, 6, 1, 2, 4, 8)) % 11 % 10 == F.substring(d, 14, 1).cast("int")
+    nine = _weighted(d, REGON_WEIGHTS[0]) % 11 % 10 == F.substring(d, 9, 1).cast("int")
+    long = _weighted(d, REGON_WEIGHTS[1]) % 11 % 10 == F.substring(d, 14, 1).cast("int")
     return F.when(F.length(d) == 9, nine).when(F.length(d) == 14, nine & long).otherwise(False)
 
 
@@ -147,9 +158,14 @@ def status_code(x: Column) -> Column:
     return out.when(low.isNotNull(), F.lit("unknown"))
 
 
+# Where a contractor's address begins, and how a partnership's name ends.
+ADDRESS_TAIL = r"(?i),\s*(ul\.|al\.|pl\.|os\.|\d{2}-\d{3}).*$"
+PARTNERSHIP_TAIL = r"(?i)\s*(s\.?\s*c\.?|spółka cywilna|spolka cywilna)\s*[\"'„”»«]*\s*$"
+
+
 def notice_name(x: Column) -> Column:
     """A contractor's name without the address after it; over 80 characters, up to the first comma."""
-    name = F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), r"(?i),\s*(ul\.|al\.|pl\.|os\.|\d{2}-\d{3}).*$", "")
+    name = F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), ADDRESS_TAIL, "")
     return F.trim(F.when(F.length(name) > 80, F.substring_index(name, ",", 1)).otherwise(name))
 
 
@@ -159,7 +175,7 @@ def partnership_name(x: Column) -> Column:
     found = F.lit(None).cast("string")
     for marker in reversed(PARTNER_MARKERS):
         at = F.instr(F.lower(text), marker)
-        rest = F.regexp_replace(F.substring(text, at + len(marker), F.length(text)), r"(?i)\s*(s\.?\s*c\.?|spółka cywilna|spolka cywilna)\s*[\"'„”»«]*\s*$", "")
+        rest = F.regexp_replace(F.substring(text, at + len(marker), F.length(text)), PARTNERSHIP_TAIL, "")
         rest = F.btrim(rest, F.lit(EDGE))
         found = F.when((at > 0) & (F.length(rest) >= 2), rest).otherwise(found)
     return found

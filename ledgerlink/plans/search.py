@@ -12,7 +12,8 @@ from ledgerlink.sources.adapters import frame, view, with_views
 #: Part names give the corpus words; ids follow the names so that they are stable.
 CORPUS = """SELECT 'Q' || p_name AS id, 'company' AS entity_type, p_name AS display_name, lower(p_name) AS normalized_name, CAST(NULL AS STRING) AS merged_into_id, count(*) AS degree FROM part GROUP BY p_name"""
 DETAILS = """SELECT 'Q' || p_name AS entity_id, CASE WHEN min(p_partkey) % 2 = 0 THEN '0000000001' END AS krs, CASE min(p_partkey) % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'deleted' END AS status,
-  'mazowieckie' AS voivodeship, '62.01.Z' AS pkd_main FROM part GROUP BY p_name"""
+  'mazowieckie' AS voivodeship, '62.01.Z' AS pkd_main, lpad(CAST(min(p_partkey) AS STRING), 10, '0') AS nip, CASE WHEN min(p_partkey) % 4 <> 0 THEN min(p_type) END AS city,
+  CASE WHEN min(p_partkey) % 5 <> 0 THEN date_add(CAST('2001-01-01' AS DATE), CAST(min(p_size) AS INT)) END AS registered_on FROM part GROUP BY p_name"""
 
 
 def corpus(spark, sf_dir):
@@ -74,6 +75,41 @@ ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY stage, score DESC, length(
 SELECT rank, id, score, stage FROM ranked WHERE rank BETWEEN 3 AND 12"""
 
 
+def pool_sql(query: str, order: str, first: int, last: int, number: str | None = None) -> str:
+    """A page from the pool: stages while the ones before found under 200, an id in its first one, then sorted."""
+    found = f"SELECT id, entity_type, display_name, degree, 1.0::DOUBLE AS score, length(display_name) AS size, 0 AS stage FROM ({CORPUS}) e JOIN (SELECT DISTINCT 'Q' || p_name AS hit FROM part WHERE lpad(CAST(p_partkey AS STRING), 10, '0') = '{number}') i ON i.hit = e.id"
+    stages = [f"SELECT *, length(lower(display_name)) AS size, {i} AS stage FROM ({stage_sql(s, query, 200)}) s{i}" for i, s in enumerate(search.BANDS, 1)]
+    return f"""WITH hits AS ({" UNION ALL ".join([found] * (number is not None) + stages)}),
+one AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY score DESC, size, degree DESC, id) AS place FROM hits QUALIFY row_number() OVER (PARTITION BY id ORDER BY stage) = 1),
+pool AS (SELECT * FROM one o WHERE (SELECT count(*) FROM one p WHERE p.stage < o.stage) < 200),
+told AS (SELECT p.*, d.nip, d.krs, d.status, d.city, d.registered_on FROM pool p LEFT JOIN ({DETAILS}) d ON d.entity_id = p.id),
+ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY {order}{", " if order else ""}stage, place) AS INTEGER) AS rank FROM told)
+SELECT rank, id, score, stage, nip, krs, status, city, registered_on, (SELECT count(*) FROM ranked) > {last} AS has_more FROM ranked WHERE rank BETWEEN {first} AND {last}"""
+
+
+def page_query(query: str, sort: str, order: str, limit: int = 10, offset: int = 5, raw: str | None = None):
+    """A sorted page of enriched hits, and its SQL; raw: a query with an identifier in it."""
+
+    def run(spark, sf_dir):
+        entities, companies = corpus(spark, sf_dir)
+        nobody = spark.createDataFrame([], "entity_id string, last_name string")
+        numbers = frame(spark, sf_dir, "SELECT 'Q' || p_name AS entity_id, lpad(CAST(p_partkey AS STRING), 10, '0') AS value FROM part")
+        found = search.search(entities, companies, numbers, nobody, raw or query, query, limit, offset, sort=sort)
+        return found.select("rank", "id", "score", "stage", "nip", "krs", "status", "city", "registered_on", "has_more")
+
+    return run, pool_sql(query, order, offset + 1, offset + limit, search.identifier_of(raw) if raw else None)
+
+
+PAGES = {
+    "search_page_name": page_query("s", "name", "lower(display_name)"),
+    "search_page_degree": page_query("s", "degree", "degree DESC, lower(display_name)"),
+    "search_page_registered": page_query("s", "registered", "registered_on DESC NULLS LAST"),
+    "search_page_city": page_query("s", "city", "trim(coalesce(city, '')) = '', lower(city)"),
+    "search_page_status": page_query("s", "status", "trim(coalesce(status, '')) = '', status"),
+    "search_number_and_name": page_query("small ring", "relevance", "", 10, 0, "small ring 000-000-00-07"),
+}
+
+
 def search_surname(spark, sf_dir):
     entities = view(spark, sf_dir, "entities").join(view(spark, sf_dir, "degrees"), "id", "left")
     people = entities.filter("entity_type = 'person'").select(F.col("id").alias("entity_id"), F.upper(F.substring_index("display_name", " ", -1)).alias("last_name"))
@@ -201,6 +237,7 @@ def map_coverage(spark, sf_dir):
 
 
 QUERIES = {
+    **PAGES,
     "search_identifier": (search_identifier, with_views("SELECT e.id, entity_type, display_name, coalesce(d.degree, 0) AS degree, CAST(1.0 AS DOUBLE) AS score FROM (SELECT DISTINCT entity_id FROM identifiers WHERE value = '0000000010') i JOIN entities e ON e.id = i.entity_id AND e.merged_into_id IS NULL LEFT JOIN degrees d ON d.id = e.id")),
     "search_exact": stage_query("exact", "small ring"),
     "search_word_prefix": stage_query("word_prefix", "small"),

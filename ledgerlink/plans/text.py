@@ -8,7 +8,7 @@ from ledgerlink.functions import text as T
 from ledgerlink.sources.adapters import frame, view, with_views
 
 NAMES = """SELECT s_suppkey AS k, CASE s_suppkey % 8 WHEN 0 THEN 'Łódzka Fabryka ' || s_name || ' Sp. z o.o.' WHEN 1 THEN 'ZAKŁAD ' || s_name || ' S.A.' WHEN 2 THEN s_name || ' spółka jawna'
-  WHEN 3 THEN '"' || s_name || '" Sp. k. w likwidacji' WHEN 4 THEN 'Straße ' || s_name || ' s.c.' WHEN 5 THEN 'Żółw SPÓŁKA Z OGRANICZONĄ ODPOWIEDZIALNOŚCIĄ' WHEN 6 THEN s_name || ' P.S.A.' ELSE s_name END AS name FROM supplier"""
+  WHEN 3 THEN '"' || s_name || '" Sp. k. w likwidacji' WHEN 4 THEN 'Straße ' || s_name || ' s.c.' WHEN 5 THEN 'Żółw SPÓŁKA Z OGRANICZONĄ ODPOWIEDZIALNOŚCIĄ' WHEN 6 THEN s_name || ' P.S.A. Zóra ﬁrma Ạn' ELSE s_name END AS name FROM supplier"""
 DOC_WORDS = "SELECT doc_id AS k, text AS name FROM documents"
 CODES = "SELECT c_custkey AS k, lpad(CAST((c_custkey * 7919137) % 10000000000 AS STRING), 10, '0') AS ten, lpad(CAST((c_custkey * 104729) % 1000000000 AS STRING), 9, '0') AS nine, lpad(CAST((c_custkey * 104729) % 1000000000 AS STRING), 9, '0') || lpad(CAST(c_custkey % 100000 AS STRING), 5, '0') AS fourteen FROM customer"
 PLACES = """SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN p_type || ' ' || p_name || ' ' || CAST(p_size AS STRING) WHEN 1 THEN 'ul. ' || p_name || ' ' || CAST(p_size AS STRING) WHEN 2 THEN 'Aleja ' || p_name ELSE p_name END AS line,
@@ -16,7 +16,9 @@ PLACES = """SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN p_type || ' '
 
 
 def sql_fold(x: str) -> str:
-    return f"trim(regexp_replace(lower(translate(replace(replace({x}, 'ß', 'ss'), 'æ', 'ae'), '{T.LETTERS}', '{T.BASES}')), '[^0-9a-z]+', ' ', 'g'))"
+    for two, plain in T.LIGATURES:
+        x = f"replace({x}, '{two}', '{plain}')"
+    return f"trim(regexp_replace(regexp_replace(lower(translate({x}, '{T.LETTERS}', '{T.BASES}')), '\\p{{M}}+', '', 'g'), '[^0-9a-z]+', ' ', 'g'))"
 
 
 def sql_company(x: str) -> str:
