@@ -85,16 +85,19 @@ def neighborhood(edges: DataFrame, entities: DataFrame, root: str, budget: Budge
 
     The driver holds accepted ids only, at most budget.max_nodes; edges stay
     distributed. A level accepts new ids in the order of (from_id, rank); hubs
-    are not expanded further and are counted. strict also calls a result
-    truncated if the budget is filled exactly and levels are skipped.
+    that could be expanded further are not, are counted, and are marked in
+    truncated_expansion. is_current says whether an edge holds at as_of, or today
+    where that is None. strict also calls a result truncated if the budget is
+    filled exactly and levels are skipped.
     """
     spark = edges.sparkSession
     first = entities.filter(F.col("id") == root).select("entity_type", "display_name", "degree").first()
     if first is None:
         raise KeyError(root)
-    nodes = [(root, first["entity_type"], first["display_name"], first["degree"], 0)]
+    nodes = [(root, first["entity_type"], first["display_name"], first["degree"], 0, False)]
     seen, frontier, found, cutoff, hubs = {root}, [root], None, False, 0
     last = budget.depth(depth)
+    current = F.col("valid_to").isNull() | (F.col("valid_to") >= (F.current_date() if as_of is None else F.lit(as_of).cast("date")))
     for level in range(1, last + 1):
         if not frontier or len(seen) >= budget.max_nodes:
             cutoff |= strict and bool(frontier)
@@ -108,15 +111,15 @@ def neighborhood(edges: DataFrame, entities: DataFrame, root: str, budget: Budge
         cutoff |= len(taken) > room or bool(rows.filter(F.col("matched_degree") > budget.fanout).limit(1).count())
         taken = taken[:room]
         seen |= {r["to_id"] for r in taken}
-        nodes += [(r["to_id"], r["b"]["entity_type"], r["b"]["display_name"], r["b"]["target_degree"], level) for r in taken]
+        nodes += [(r["to_id"], r["b"]["entity_type"], r["b"]["display_name"], r["b"]["target_degree"], level, level < last and r["b"]["target_degree"] > budget.hub_degree) for r in taken]
         visible = F.broadcast(spark.createDataFrame([(v,) for v in seen], "to_id string"))
-        part = rows.join(visible, "to_id", "left_semi").select("id", *oriented(), "relationship_type", "valid_from", "valid_to", "confidence")
+        part = rows.join(visible, "to_id", "left_semi").select("id", *oriented(), "relationship_type", "valid_from", "valid_to", "confidence", current.alias("is_current"))
         found = part if found is None else found.unionByName(part)
         if level < last:
             frontier = [r["to_id"] for r in taken if r["b"]["target_degree"] <= budget.hub_degree]
             hubs += len(taken) - len(frontier)
-    node_frame = spark.createDataFrame(nodes, "id string, entity_type string, display_name string, degree long, level int")
-    edge_frame = (found or spark.createDataFrame([], "id string, source_id string, target_id string, relationship_type string, valid_from date, valid_to date, confidence string")).dropDuplicates(["id"])
+    node_frame = spark.createDataFrame(nodes, "id string, entity_type string, display_name string, degree long, level int, truncated_expansion boolean")
+    edge_frame = (found or spark.createDataFrame([], "id string, source_id string, target_id string, relationship_type string, valid_from date, valid_to date, confidence string, is_current boolean")).dropDuplicates(["id"])
     if collapse:
         node_frame, edge_frame = collapse_sole_traders(node_frame, edge_frame, root)
     meta = spark.createDataFrame([(root, last, cutoff, hubs)], "root string, depth int, truncated boolean, suppressed_hubs int")

@@ -45,11 +45,13 @@ EDGE_KEY = ["source_id", "target_id", "relationship_type", "valid_from"]
 def bitemporal_upsert(stored: DataFrame, incoming: DataFrame, on: str) -> DataFrame:
     """stored with incoming facts: same key and end is no news; another end closes the old row and adds one.
 
-    A null start is a key of its own. Returns all rows with action: kept,
+    A null start is a key of its own. Of incoming rows of one key an open one
+    counts, else the one that ends last. Returns all rows with action: kept,
     closed or added.
     """
     live, past = stored.filter("superseded_on is null"), stored.filter("superseded_on is not null")
-    new = incoming.dropDuplicates(EDGE_KEY)
+    best = Window.partitionBy(*EDGE_KEY).orderBy(F.col("valid_to").desc_nulls_first(), *(["id"] if "id" in incoming.columns else []))
+    new = incoming.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
     match = [live[c].eqNullSafe(new[c]) for c in EDGE_KEY]
     joined = live.alias("o").join(new.select(*EDGE_KEY, F.col("valid_to").alias("new_to"), F.lit(True).alias("hit")).alias("n"), [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in EDGE_KEY], "left")
     changed = F.col("hit").isNotNull() & ~F.col("valid_to").eqNullSafe(F.col("new_to"))

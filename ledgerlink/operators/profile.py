@@ -36,6 +36,21 @@ def profile(entities: DataFrame, companies: DataFrame, identifiers: DataFrame, e
     return one.join(mine, F.col("id") == mine["entity_id"], "left").drop("entity_id")
 
 
+def profiles(entities: DataFrame, identifiers: DataFrame, **details: DataFrame) -> DataFrame:
+    """One row an entity: its columns, struct columns of its kind's details, and identifiers in order.
+
+    details: a table each by entity_id, such as company, person and address; the
+    struct is null where a table does not have the entity. identifiers is an
+    array of (scheme, value), null without any.
+    """
+    out = entities
+    for name, table in details.items():
+        packed = table.select(F.col("entity_id").alias("_of"), F.struct(*[F.col(c) for c in table.columns if c != "entity_id"]).alias(name))
+        out = out.join(packed, F.col("id") == F.col("_of"), "left").drop("_of")
+    own = identifiers.groupBy(F.col("entity_id").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("scheme", "value"))).alias("identifiers"))
+    return out.join(own, F.col("id") == F.col("_of"), "left").drop("_of")
+
+
 def relationships_page(edges: DataFrame, entities: DataFrame, provenance: DataFrame, documents: DataFrame, entity: str, today: str, historical: bool = True, limit: int = 200, offset: int = 0) -> DataFrame:
     """A page of an entity's relationships with their sources, open ones first, then by start."""
     mine = edges.filter((F.col("from_id") == entity) & known() & still_valid(today, historical))

@@ -195,7 +195,7 @@ def dq_report(spark, sf_dir):
 DQ = {
     "entity_holds_one_identifier_per_scheme": "SELECT entity_id AS subject FROM identifiers WHERE scheme = 'krs' AND entity_id IN (SELECT id FROM entities WHERE merged_into_id IS NULL)",
     "one_address_row_per_physical_address": "SELECT lower(city) || ' ' || lower(street) || ' ' || lower(building) AS subject FROM addresses GROUP BY lower(city), lower(street), lower(building) HAVING count(*) > 1 AND count(DISTINCT voivodeship) <= 1",
-    "relationship_has_provenance": "SELECT id AS subject FROM relationships WHERE id NOT IN (SELECT relationship_id FROM provenance)",
+    "relationship_has_provenance": "SELECT id AS subject FROM relationships r WHERE NOT EXISTS (SELECT 1 FROM provenance p WHERE p.relationship_id = r.id)",
     "company_is_not_registered_at_many_addresses": "SELECT source_id AS subject FROM relationships WHERE relationship_type = 'registered_at' AND superseded_on IS NULL AND source_id IN (SELECT id FROM entities WHERE merged_into_id IS NULL) GROUP BY source_id HAVING count(*) > 12",
     "superseded_fact_is_not_older_than_its_record": "SELECT id AS subject FROM relationships WHERE superseded_on < recorded_on",
     "entity_has_a_display_name": "SELECT id AS subject FROM entities WHERE merged_into_id IS NULL AND (display_name IS NULL OR trim(display_name) = '')",

@@ -52,9 +52,9 @@ v1 AS (SELECT '{ROOT}' AS id UNION ALL SELECT to_id FROM n1),
 v2 AS (SELECT id FROM v1 UNION ALL SELECT to_id FROM n2),
 e AS (SELECT id, direction, from_id, to_id, relationship_type, valid_from, valid_to, confidence FROM a WHERE to_id IN (SELECT id FROM v1)
       UNION ALL SELECT id, direction, from_id, to_id, relationship_type, valid_from, valid_to, confidence FROM b WHERE to_id IN (SELECT id FROM v2)),
-edges AS (SELECT DISTINCT id, CASE WHEN direction = 'out' THEN from_id ELSE to_id END AS source_id, CASE WHEN direction = 'out' THEN to_id ELSE from_id END AS target_id, relationship_type, valid_from, valid_to, confidence FROM e),
-nodes AS (SELECT e.id, e.entity_type, e.display_name, coalesce(d.degree, 0) AS degree, 0 AS level FROM entities e LEFT JOIN degrees d ON d.id = e.id WHERE e.id = '{ROOT}'
-      UNION ALL SELECT to_id, entity_type, display_name, target_degree, 1 FROM n1 UNION ALL SELECT to_id, entity_type, display_name, target_degree, 2 FROM n2),
+edges AS (SELECT DISTINCT id, CASE WHEN direction = 'out' THEN from_id ELSE to_id END AS source_id, CASE WHEN direction = 'out' THEN to_id ELSE from_id END AS target_id, relationship_type, valid_from, valid_to, confidence, (valid_to IS NULL OR valid_to >= DATE '{DAY}') AS is_current FROM e),
+nodes AS (SELECT e.id, e.entity_type, e.display_name, coalesce(d.degree, 0) AS degree, 0 AS level, FALSE AS truncated_expansion FROM entities e LEFT JOIN degrees d ON d.id = e.id WHERE e.id = '{ROOT}'
+      UNION ALL SELECT to_id, entity_type, display_name, target_degree, 1, target_degree > {SMALL.hub_degree} FROM n1 UNION ALL SELECT to_id, entity_type, display_name, target_degree, 2, FALSE FROM n2),
 ends AS (SELECT source_id AS node, relationship_type FROM edges UNION ALL SELECT target_id, relationship_type FROM edges),
 single AS (SELECT node FROM ends GROUP BY node HAVING count(*) = 1 AND min(relationship_type) = 'sole_proprietor_of'),
 gone AS (SELECT id FROM nodes WHERE entity_type = 'person' AND id <> '{ROOT}' AND id IN (SELECT node FROM single))
@@ -120,7 +120,7 @@ def contract_days(spark, sf_dir):
 
 QUERIES = {
     "graph_level1": (graph_level1, LEVEL1),
-    "graph_depth2_nodes": (graph_depth2_nodes, with_views(DEPTH2 + "SELECT id, entity_type, display_name, degree, level FROM nodes WHERE id NOT IN (SELECT id FROM gone)")),
+    "graph_depth2_nodes": (graph_depth2_nodes, with_views(DEPTH2 + "SELECT id, entity_type, display_name, degree, level, truncated_expansion FROM nodes WHERE id NOT IN (SELECT id FROM gone)")),
     "graph_depth2_edges": (graph_depth2_edges, with_views(DEPTH2 + "SELECT * FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)")),
     "graph_depth2_meta": (graph_depth2_meta, with_views(DEPTH2 + f"""SELECT '{ROOT}' AS root, 2 AS depth,
         ((SELECT count(*) FROM a WHERE matched_degree > {SMALL.fanout}) > 0 OR (SELECT count(*) FROM a1) > {SMALL.max_nodes - 1}

@@ -146,6 +146,24 @@ def entity_profile(spark, sf_dir):
     return profile.profile(entities, view(spark, sf_dir, "companies"), view(spark, sf_dir, "identifiers"), "C10")
 
 
+#: Details of people and places, by entity.
+PEOPLE = "SELECT DISTINCT 'U' || CAST(user_id AS STRING) AS entity_id, 'User' AS first_names, CAST(user_id AS STRING) AS last_name FROM events"
+PLACES = "SELECT 'N' || CAST(n_nationkey AS STRING) AS entity_id, n_name AS city, CAST(n_regionkey AS STRING) AS voivodeship FROM nation"
+
+
+def entity_profiles(spark, sf_dir):
+    """Companies, people and addresses alike, with the details of their kind."""
+    _, entities = tables(spark, sf_dir)
+    found = profile.profiles(entities, view(spark, sf_dir, "identifiers"), company=view(spark, sf_dir, "companies"), person=frame(spark, sf_dir, PEOPLE), address=frame(spark, sf_dir, PLACES))
+    told = F.array_join(F.transform("identifiers", lambda i: F.concat_ws(":", i["scheme"], i["value"])), ",")
+    return found.select("id", "entity_type", "display_name", "degree", "company.nip", "company.krs", "company.status", "person.first_names", "person.last_name", F.col("address.city").alias("city"), F.col("address.voivodeship").alias("region"), told.alias("identifiers"))
+
+
+PROFILES = f"""WITH p AS ({PEOPLE}), a AS ({PLACES}), i AS (SELECT entity_id, string_agg(scheme || ':' || value, ',' ORDER BY scheme, value) AS identifiers FROM identifiers GROUP BY 1)
+SELECT e.id, entity_type, display_name, coalesce(d.degree, 0) AS degree, c.nip, c.krs, c.status, p.first_names, p.last_name, a.city, a.voivodeship AS region, i.identifiers
+FROM entities e LEFT JOIN degrees d ON d.id = e.id LEFT JOIN companies c ON c.entity_id = e.id LEFT JOIN p ON p.entity_id = e.id LEFT JOIN a ON a.entity_id = e.id LEFT JOIN i ON i.entity_id = e.id"""
+
+
 def relationships_page(spark, sf_dir):
     edges, entities = tables(spark, sf_dir)
     return profile.relationships_page(edges, entities, view(spark, sf_dir, "provenance"), view(spark, sf_dir, "raw_documents"), "C1", "2001-06-30", limit=20, offset=5)
@@ -238,6 +256,7 @@ def map_coverage(spark, sf_dir):
 
 QUERIES = {
     **PAGES,
+    "entity_profiles": (entity_profiles, with_views(PROFILES)),
     "search_identifier": (search_identifier, with_views("SELECT e.id, entity_type, display_name, coalesce(d.degree, 0) AS degree, CAST(1.0 AS DOUBLE) AS score FROM (SELECT DISTINCT entity_id FROM identifiers WHERE value = '0000000010') i JOIN entities e ON e.id = i.entity_id AND e.merged_into_id IS NULL LEFT JOIN degrees d ON d.id = e.id")),
     "search_exact": stage_query("exact", "small ring"),
     "search_word_prefix": stage_query("word_prefix", "small"),

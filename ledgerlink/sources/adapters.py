@@ -72,7 +72,7 @@ VIEWS: dict[str, str] = {
     "raw_documents": """
         SELECT doc_id AS id, source, 'D' || CAST(doc_id % 200 AS STRING) AS external_id, text AS payload FROM documents""",
     "provenance": """
-        SELECT id AS relationship_id, CAST(row_number() OVER (ORDER BY id) % 200 AS BIGINT) AS document_id FROM relationships WHERE relationship_type <> 'parent_of'""",
+        SELECT id AS relationship_id, CAST((ascii(substr(md5(id), 1, 1)) * 256 + ascii(substr(md5(id), 2, 1)) * 16 + ascii(substr(md5(id), 3, 1))) % 200 AS BIGINT) AS document_id FROM relationships WHERE relationship_type <> 'parent_of'""",
     "attribute_log": """
         SELECT event_id, user_id, event_type AS field, CAST(value AS STRING) AS value, ts FROM events""",
     "financials": """
