@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlink.plans import etl, graph, loads, search, semi, text
+from ledgerlink.plans import backfills, etl, graph, loads, search, semi, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL: dict[str, tuple[Query, str | None]] = {**graph.QUERIES, **search.QUERIES, **text.QUERIES, **etl.QUERIES, **loads.QUERIES, **semi.QUERIES}
+ALL: dict[str, tuple[Query, str | None]] = {**graph.QUERIES, **search.QUERIES, **text.QUERIES, **etl.QUERIES, **loads.QUERIES, **backfills.QUERIES, **semi.QUERIES}
 
 
 def queries() -> dict[str, Query]:
