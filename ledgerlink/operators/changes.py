@@ -52,6 +52,13 @@ def after_failure(tasks: DataFrame, failed: DataFrame, now: str, delay_seconds:
     return marked.select(*[made[c].alias(c) if c in made else F.col(c) for c in tasks.columns])
 
 
+def after_success(tasks: DataFrame, finished: DataFrame) -> DataFrame:
+    """tasks with the finished ones (id) done; only what is running can be finished."""
+    marked = tasks.join(finished.select("id", F.lit(True).alias("hit")).distinct(), "id", "left")
+    status = F.when(F.col("hit") & (F.col("status") == "running"), "done").otherwise(F.col("status"))
+    return marked.select(*[status.alias(c) if c == "status" else F.col(c) for c in tasks.columns])
+
+
 def release_stale(tasks: DataFrame, now: str, older_seconds: int) -> DataFrame:
     """tasks with running ones locked before now - older_seconds pending again."""
     cutoff = F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(older_seconds))

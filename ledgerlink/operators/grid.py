@@ -38,6 +38,12 @@ def clusters(cells: DataFrame, zoom: int, box: tuple[int, int, int, int] | None
     return rolled.orderBy(F.col("addresses").desc(), "lat_idx", "lon_idx").limit(most)
 
 
+def cluster_page(cells: DataFrame, zoom: int, box: tuple[int, int, int, int] | None = None, most: int = MOST) -> DataFrame:
+    """clusters() with truncated on every row: whether as many came as can, so that others may be missing."""
+    shown = clusters(cells, zoom, box, most)
+    return shown.crossJoin(F.broadcast(shown.agg((F.count("*") >= most).alias("truncated"))))
+
+
 def check_box(box: tuple[int, int, int, int]) -> None:
     s, w, n, e = box
     if not (s < n and w < e) or n - s > 20_000 or e - w > 20_000:

@@ -218,6 +218,11 @@ def queue_after_failure(spark, sf_dir):
     return changes.after_failure(t, t.filter("status = 'running'"), NOW, 600).select("id", "status", "scheduled_for")
 
 
+def queue_after_success(spark, sf_dir):
+    t = view(spark, sf_dir, "tasks")
+    return changes.after_success(t, t.filter("id % 3 = 0")).select("id", "status", "attempts")
+
+
 def queue_stale(spark, sf_dir):
     t = view(spark, sf_dir, "tasks").withColumn("locked_at", F.when(F.col("status") == "running", F.col("scheduled_for")))
     return changes.release_stale(t, NOW, 86400 * 30).select("id", "status", "locked_at")
@@ -335,6 +340,7 @@ QUERIES = {
     "dq_report": (dq_report, REPORT),
     "queue_claim": (queue_claim, CLAIM),
     "queue_after_failure": (queue_after_failure, f"SELECT id, CASE WHEN status = 'running' THEN CASE WHEN attempts >= 5 THEN 'failed' ELSE 'pending' END ELSE status END AS status, CASE WHEN status = 'running' THEN TIMESTAMP '{NOW}' + INTERVAL 600 SECOND ELSE scheduled_for END AS scheduled_for FROM tasks"),
+    "queue_after_success": (queue_after_success, "SELECT id, CASE WHEN status = 'running' AND id % 3 = 0 THEN 'done' ELSE status END AS status, attempts FROM tasks"),
     "queue_stale": (queue_stale, f"SELECT id, CASE WHEN status = 'running' AND scheduled_for < TIMESTAMP '{NOW}' - INTERVAL 30 DAY THEN 'pending' ELSE status END AS status, CASE WHEN status = 'running' AND scheduled_for >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY THEN scheduled_for END AS locked_at FROM tasks"),
     "queue_enqueue": (queue_enqueue, "SELECT id, source, status FROM tasks"),
     "queue_stats": (queue_stats, "SELECT source, status, count(*) AS n FROM tasks GROUP BY source, status"),

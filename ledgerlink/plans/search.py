@@ -229,6 +229,10 @@ def map_clusters(spark, sf_dir):
     return grid.clusters(map_base_cells(spark, sf_dir), 6, BOX)
 
 
+def map_cluster_page(spark, sf_dir):
+    return grid.cluster_page(map_base_cells(spark, sf_dir), 6, BOX, 5)
+
+
 CLUSTERS = f"""WITH cells AS ({CELLS}) SELECT CAST(floor(lat_idx / 50) AS BIGINT) AS lat_idx, CAST(floor(lon_idx / 50) AS BIGINT) AS lon_idx, CAST(sum(addresses) AS BIGINT) AS addresses, CAST(sum(entities) AS BIGINT) AS entities,
   round(CAST(sum(lat_sum) AS DOUBLE) / CAST(sum(addresses) AS DOUBLE), 6) AS lat, round(CAST(sum(lon_sum) AS DOUBLE) / CAST(sum(addresses) AS DOUBLE), 6) AS lon
   FROM cells WHERE lat_idx BETWEEN {BOX[0] // 5} AND {BOX[2] // 5} AND lon_idx BETWEEN {BOX[1] // 5} AND {BOX[3] // 5} GROUP BY 1, 2 ORDER BY addresses DESC, lat_idx, lon_idx LIMIT 2000"""
@@ -279,6 +283,7 @@ QUERIES = {
     "source_inventory": (source_inventory, with_views(INVENTORY)),
     "map_base_cells": (map_base_cells, with_views(CELLS)),
     "map_clusters": (map_clusters, with_views(CLUSTERS)),
+    "map_cluster_page": (map_cluster_page, with_views(CLUSTERS.replace("LIMIT 2000", "LIMIT 5").replace("SELECT CAST(floor(lat_idx / 50)", "SELECT *, count(*) OVER () >= 5 AS truncated FROM (SELECT CAST(floor(lat_idx / 50)", 1) + ") c")),
     "map_detail_points": (map_points, with_views("SELECT lat, lon, count(*) AS addresses, CAST(sum(degree) AS BIGINT) AS entities, min(label) AS label FROM coordinates WHERE merged_into_id IS NULL AND lat BETWEEN 52000 AND 52400 AND lon BETWEEN 18000 AND 19000 GROUP BY lat, lon")),
     "map_fallback": (map_fallback, with_views(f"WITH cells AS ({CELLS}) SELECT lat_idx, lon_idx, addresses, entities, round(lat_sum::DOUBLE / addresses, 6) AS lat, round(lon_sum::DOUBLE / addresses, 6) AS lon FROM cells WHERE lat_idx BETWEEN 10400 AND 10800 AND lon_idx BETWEEN 3600 AND 4400 ORDER BY addresses DESC, lat_idx, lon_idx LIMIT 3")),
     "map_at_point": (map_at_point, with_views("SELECT id, display_name, lat, lon FROM coordinates c JOIN entities e ON e.id = c.entity_id WHERE lat = 49000 + 7919 % 5500 AND lon = 14000 + 104729 % 10000")),
