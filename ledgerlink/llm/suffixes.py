@@ -11,7 +11,8 @@ name; neighbours in that order that agree in LENGTH bytes are equal windows, of
 which all but those of the smallest doc_id are removed. As names reach LENGTH
 bytes at once, nothing is left to recurse on.
 
-Suffixes that are unique are discarded first: prefixes of 35 bytes around the
+Texts that equal one of a smaller doc_id are settled by their digest. Suffixes
+that are unique are discarded first: prefixes of 35 bytes around the
 windows' minimizers are compared, by hash; these spare work and decide nothing.
 Texts lie in files, one a bucket of documents, that tasks read again, so that
 they are shuffled once. No table is broadcast or gathered on the driver.
@@ -76,40 +77,57 @@ def _row(names: list[str], *values):
 
 
 def _bucketed(batches):
-    """(bucket, doc_id, doc, h, text) to (bucket, n, data) rows: n documents' (doc, known, h, size) and bytes."""
+    """(bucket, doc_id, doc, h, text) to (bucket, n, data) rows: n documents' (doc, known, h, size, rows) and bytes.
+
+    Rows that repeat id and text leave once, with their number.
+    """
     import zstandard
 
     pack = zstandard.ZstdCompressor(3)
-    held: dict[int, list] = {}
+    held: dict[int, dict] = {}
     size = 0
 
     def emptied():
         for bucket, rows in sorted(held.items()):
-            table = np.array([(d, i is not None, h, len(t)) for i, d, h, t in rows], np.int64).T
-            yield _row(["bucket", "n", "data"], bucket, len(rows), pack.compress(_planes(table) + b"".join(r[3] for r in rows)))
+            table = np.array([(doc, known, h, len(data), n) for (doc, known, data), (h, n) in rows.items()], np.int64).T
+            yield _row(["bucket", "n", "data"], bucket, len(rows), pack.compress(_planes(table) + b"".join(data for _, _, data in rows)))
         held.clear()
 
     for batch in batches:
         for bucket, doc_id, doc, h, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            data = text.encode()
-            held.setdefault(bucket, []).append((doc_id, doc, h, data))
-            size += len(data)
+            key, rows = (doc, doc_id is not None, text.encode()), held.setdefault(bucket, {})
+            rows[key] = (h, rows.get(key, (h, 0))[1] + 1)
+            size += len(key[2])
         if size >= 4 * PIECE:
             yield from emptied()
             size = 0
     yield from emptied()
 
 
+def _listed(batches):
+    """(bucket, doc, h) to rows (bucket, -n, data): documents that are the first of their text."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(3)
+    for batch in batches:
+        bucket, doc, h = (batch.column(i).to_numpy() for i in range(3))
+        order = np.lexsort((h, doc, bucket))
+        edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)) if len(order) else order
+        for lo, hi in zip(edges, np.append(edges[1:], len(order))):
+            own = order[lo:hi]
+            yield _row(["bucket", "n", "data"], int(bucket[own[0]]), -len(own), pack.compress(_planes(np.stack([doc[own], h[own]]))))
+
+
 def _texts(data: bytes, n: int):
-    return _unplaned(data, 4, n), np.frombuffer(data, np.uint8, offset=32 * n)
+    return _unplaned(data, 5, n), np.frombuffer(data, np.uint8, offset=40 * n)
 
 
 def _name(home: str, bucket: int) -> str:
     return posixpath.join(home, f"bucket-{bucket:08d}.bin")
 
 
-def _frames(fs, home: str, bucket: int):
-    """(table, body) of some documents of a bucket after the other; none where it has no file."""
+def _frames(fs, home: str, bucket: int, copies: bool = False):
+    """(table, body) of some documents of a bucket after the other, or of its copies; none where it has no file."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor()
@@ -118,7 +136,10 @@ def _frames(fs, home: str, bucket: int):
     with fs.open_input_file(_name(home, bucket)) as f:
         while head := f.read(16):
             size, n = np.frombuffer(head, np.int64).tolist()
-            yield _texts(unpack.decompress(f.read(size)), n)
+            if (n < 0) == copies:
+                yield _texts(unpack.decompress(f.read(size)), abs(n))
+            else:
+                f.seek(size, 1)
 
 
 def _pieces(table, body, length: int):
@@ -207,25 +228,36 @@ def _filed(folder: str, parts: int, length: int):
         for t, bounds in grouped(batches, ["bucket"]):
             for s, e in zip(bounds[:-1], bounds[1:]):
                 bucket, values = int(t.column("bucket")[s].as_py()), []
-                tables, bodies = zip(*(_texts(unpack.decompress(t.column("data")[i].as_py()), t.column("n")[i].as_py()) for i in range(s, e)))
+                rows = [(t.column("n")[i].as_py(), unpack.decompress(t.column("data")[i].as_py())) for i in range(s, e)]
+                own = {key for n, data in rows if n < 0 for key in zip(*_unplaned(data, 2, -n).tolist())}
+                tables, bodies = zip(*(_texts(data, n) for n, data in rows if n > 0))
                 table, body = np.concatenate(tables, 1), np.concatenate(bodies)
-                del bodies
+                del rows, bodies
                 at = np.cumsum(table[3]) - table[3]
-                order = np.lexsort((table[3], table[2], table[0]))
+                order = np.lexsort((table[3], table[1], table[2], table[0]))
                 table, at = table[:, order], at[order]
+                # Of rows that repeat id and text one is left, with the number of all.
+                new = np.flatnonzero(np.append(True, (np.diff(table[:4]) != 0).any(0)))
+                rows, table, at = np.add.reduceat(table[4], new), table[:, new], at[new]
+                table[4] = rows
+                first = np.array([key in own for key in zip(table[0].tolist(), table[2].tolist())])
+                copies, table, at = table[:, ~first], table[:, first], at[first]
                 # A whole file appears at once; a lost attempt leaves only its own temporary name.
                 draft = f"{_name(home, bucket)}.{uuid.uuid4().hex}"
                 frame = np.cumsum(table[3]) // PIECE
-                edges = np.flatnonzero(np.append(True, frame[1:] != frame[:-1]))
+                edges = np.flatnonzero(np.append(True, frame[1:] != frame[:-1])) if len(frame) else frame
                 with fs.open_output_stream(draft, compression=None) as f:
                     for lo, hi in zip(edges, np.append(edges[1:], len(frame))):
-                        some, own = table[:, lo:hi], slices(body, at[lo:hi], table[3, lo:hi])
-                        data = pack.compress(_planes(some) + own.tobytes())
+                        some, text = table[:, lo:hi], slices(body, at[lo:hi], table[3, lo:hi])
+                        data = pack.compress(_planes(some) + text.tobytes())
                         f.write(np.array([len(data), hi - lo], np.int64).tobytes() + data)
-                        for _, _, starts, sizes, a in _pieces(some, own, length):
+                        for _, _, starts, sizes, a in _pieces(some, text, length):
                             values.append(np.unique(marks(a, starts, sizes, length)[3]))
+                    if copies.shape[1]:
+                        data = pack.compress(_planes(copies))
+                        f.write(np.array([len(data), -copies.shape[1]], np.int64).tobytes() + data)
                 fs.move(draft, _name(home, bucket))
-                v = np.unique(np.concatenate(values))
+                v = np.unique(np.concatenate([np.zeros(0, np.int64), *values]))
                 edges = np.searchsorted(_part(v, parts), np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(edges)):
                     own = v[None, edges[p] : edges[p + 1]]
@@ -337,7 +369,7 @@ def _sampled(folder: str, parts: int, length: int):
     def run(batches):
         import zstandard
 
-        pack, unpack = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+        pack, unpack = zstandard.ZstdCompressor(6), zstandard.ZstdDecompressor()
 
         def passed(bucket, held):
             head, context, part = np.concatenate([x[0] for x in held], 1), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
@@ -490,6 +522,12 @@ def _kept(folder: str):
 
         fs, home = _files(folder)
         unpack = zstandard.ZstdDecompressor()
+
+        def told(table, removed, spans, digests):
+            each = np.repeat(np.arange(table.shape[1]), table[4])
+            ids = pa.array(table[0, each], mask=table[1, each] == 0)
+            return pa.RecordBatch.from_arrays([ids, pa.array(table[3, each]), pa.array(removed[each]), pa.array(spans[each]), pa.array(np.array(digests, object)[each], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
         for t, bounds in grouped(batches, ["bucket"]):
             for s, e in zip(bounds[:-1], bounds[1:]):
                 found = [_unplaned(unpack.decompress(t.column("data")[i].as_py()), 3, t.column("n")[i].as_py()) for i in range(s, e) if t.column("n")[i].as_py()]
@@ -500,8 +538,10 @@ def _kept(folder: str):
                 reach = np.maximum.accumulate(hi + (row << 32))
                 new = np.flatnonzero(np.append(True, lo[1:] + (row[1:] << 32) > reach[:-1])) if len(row) else row
                 row, lo, hi = row[new], lo[new], np.maximum.reduceat(hi, new) if len(new) else hi
-                base = 0
-                for table, body in _frames(fs, home, int(t.column("bucket")[s].as_py())):
+                base, bucket = 0, int(t.column("bucket")[s].as_py())
+                for table, _ in _frames(fs, home, bucket, True):
+                    yield told(table, table[3], np.ones(table.shape[1], np.int64), [hashlib.sha256().hexdigest()] * table.shape[1])
+                for table, body in _frames(fs, home, bucket):
                     n = table.shape[1]
                     cuts = np.searchsorted(row, np.arange(base, base + n + 1))
                     removed, digests, at = [], [], 0
@@ -515,8 +555,7 @@ def _kept(folder: str):
                         removed.append(gone)
                         at += size
                     base += n
-                    ids = pa.array(table[0], mask=table[1] == 0)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(table[3]), pa.array(removed, pa.int64()), pa.array(np.diff(cuts)), pa.array(digests)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    yield told(table, np.array(removed, np.int64), np.diff(cuts), digests)
 
     return run
 
@@ -547,7 +586,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     doc, bucket = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets))
     rows = long.select(bucket.alias("bucket"), F.col("doc_id").cast("long"), doc.alias("doc"), F.xxhash64("text").alias("h"), "text")
-    texts = dealt(rows.mapInArrow(_bucketed, "bucket long, n long, data binary"), buckets, "bucket")
+    # Of equal texts that of the smallest doc is looked at; the others are removed whole.
+    firsts = rows.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("key")).agg(F.min(F.struct("doc", "h", "bucket")).alias("r")).select("r.bucket", "r.doc", "r.h")
+    packed = "bucket long, n long, data binary"
+    texts = dealt(rows.mapInArrow(_bucketed, packed).unionByName(firsts.mapInArrow(_listed, packed)), buckets, "bucket")
     sent = dealt(texts.mapInArrow(_filed(folder, buckets, length), "part long, bucket long, n long, data binary"), buckets, "part", "bucket")
     answers = cut(sent.mapInArrow(_answered, "bucket long, part long, n long, data binary"), "suffix-answers")
     del texts, sent

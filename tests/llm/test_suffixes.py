@@ -43,7 +43,7 @@ def corpus(seed):
         if i % 3 == 1:
             w.insert(rng.randrange(len(w) + 1), hot)
         rows.append((i, " ".join(w)))
-    rows += [(i + 200, t) for i, t in rows[::5]] + [(7, rows[7][1]), (3, "another text under the same id " + hot), (None, hot), (None, hot + " more"), (None, None), (400, "")]
+    rows += [(i + 200, t) for i, t in rows[::5]] + [(7, rows[7][1]), (3, "another text under the same id " + hot), (None, hot), (None, hot), (None, "of no id " * 9), (None, "of no id " * 9), (None, hot + " more"), (None, None), (400, "")]
     rows += [(500 + i, rng.choice(("ab", "a", "abc", "é", "xyzw")) * rng.randint(10, 90)) for i in range(20)]
     rows += [(600 + i, "x" * n) for i, n in enumerate((48, 49, 50, 51, 52, 99, 100, 101))] + [(700, text(9000) + hot), (701, text(50) + " " + "q" * 20000), (702, "q" * 9000)]
     return rows
