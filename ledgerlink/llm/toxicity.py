@@ -3,7 +3,7 @@
 A word's vector is the mean of the vectors of its character 3- to 5-grams
 (with its ends marked), a passage's the mean of its words'; embeddings and
 softmax are trained jointly, in numpy. A document is as toxic as its most toxic
-passage, in training and in scoring.
+passages are on average, in training and in scoring.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from ledgerlink.llm.common import bounded_batches
 
 #: Labelled rows that training reads at most: toxic ones, and others; the first in a hash order of doc_id.
 SAMPLE = (1500, 2500)
-BITS, DIM, PASSAGE, LEAST_WORDS, LEAST_TEXTS = 17, 8, 8, 8, 4
+BITS, DIM, PASSAGE, LEAST_WORDS, LEAST_TEXTS = 17, 8, 4, 4, 4
+#: Passages of a text that decide.
+TOP = 2
 GRAMS = (3, 4, 5)
 #: Weight of the toxic class in the loss, and of the embeddings' squares.
-TOXIC_WEIGHT, DECAY = 0.4, 1e-6
+TOXIC_WEIGHT, DECAY = 0.45, 1e-5
 
 
 class Bags:
@@ -68,9 +70,18 @@ class Bags:
         words = np.bincount(self.owner, value[self.gram], self.n_words) / self.grams
         return np.bincount(self.passage, words[self.word], self.n_passages) / self.size + bias
 
+    def leading(self, logit: np.ndarray):
+        """(passages, their texts, how many each text has) of the TOP highest passages of each text."""
+        order, stop = np.lexsort((logit, self.text)), np.append(self.first[1:], self.n_passages)
+        size = np.minimum(stop - self.first, TOP)
+        text = np.repeat(np.arange(len(self.first)), size)
+        return order[stop[text] - 1 - (np.arange(len(text)) - (np.cumsum(size) - size)[text])], text, size
+
     def logits(self, value: np.ndarray, bias: float) -> np.ndarray:
         """The log odds of each text, from the value of each bucket."""
-        return np.maximum.reduceat(self.passage_logits(value, bias), self.first) if len(self.first) else np.zeros(0)
+        logit = self.passage_logits(value, bias)
+        top, text, size = self.leading(logit)
+        return np.bincount(text, logit[top], len(self.first)) / size
 
     def pulls(self, g: np.ndarray) -> np.ndarray:
         """What each bucket gets of the passages' gradients."""
@@ -95,7 +106,7 @@ class Model:
 
 
 def train(texts: list[str | None], labels: list[int], epochs: int = 150, rate: float = 0.1, decay: float = DECAY, seed: int = 5) -> Model:
-    """Full-batch Adam on the log loss of the texts' most toxic passages.
+    """Full-batch Adam on the log loss of the texts, by their most toxic passages.
 
     The first third of the epochs takes every passage with its text's label, to
     find a start. n-grams that occur less than LEAST_TEXTS times over the texts
@@ -121,9 +132,10 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 150, rate: f
             share = balance[bags.text] / np.bincount(bags.text)[bags.text]
             g = share * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[bags.text])
         else:
-            top = np.lexsort((logit, bags.text))[np.append(bags.first[1:], bags.n_passages) - 1]
+            top, text, size = bags.leading(logit)
+            whole = np.bincount(text, logit[top], len(y)) / size
             g = np.zeros(bags.n_passages)
-            g[top] = balance * (1 / (1 + np.exp(-np.clip(logit[top], -30, 30))) - y)
+            g[top] = (balance * (1 / (1 + np.exp(-np.clip(whole, -30, 30))) - y) / size)[text]
         # The loss changes with a bucket's embedding by its pull times diff, with diff by all pulls times embeddings.
         pull = bags.pulls(g)[used]
         d_diff = pull @ e
@@ -169,7 +181,9 @@ def _scored(model: Model):
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text).
 
-    Null and empty texts get the score of a passage without words.
+    Null and empty texts get the score of a passage without words. Repeated rows
+    are scored each; an empty table gives no rows, and without labels of both
+    kinds every score is low.
     """
     bounded_batches(docs.sparkSession, "4m")
     model = fit(docs, labels)
