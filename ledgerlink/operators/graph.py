@@ -58,11 +58,12 @@ def refreshed_degrees(entities: DataFrame, relationships: DataFrame) -> DataFram
 def expand(edges: DataFrame, entities: DataFrame, frontier: DataFrame, fanout: int, as_of: str | None, types: list[str] | None = None, derived: bool = False) -> DataFrame:
     """One level: for each frontier id (column from_id) its best fanout half-edges, with the live node they reach.
 
-    as_of None takes history too. Ranks and matched_degree count edges before
+    frontier may be of any size; a short one is best marked for broadcast by the
+    caller. as_of None takes history too. Ranks and matched_degree count edges before
     merged targets are dropped. The degree is a separate aggregate, so that the
     rank filter can prune inside the window.
     """
-    near = edges.filter(known()).join(F.broadcast(frontier), "from_id", "left_semi")
+    near = edges.filter(known()).join(frontier, "from_id", "left_semi")
     if as_of is not None:
         near = near.filter(valid_at(as_of))
     near = near.filter(F.col("relationship_type").isin(types)) if types is not None else near if derived else near.filter(~F.col("relationship_type").isin(*DERIVED))
@@ -102,7 +103,7 @@ def neighborhood(edges: DataFrame, entities: DataFrame, root: str, budget: Budge
         if not frontier or len(seen) >= budget.max_nodes:
             cutoff |= strict and bool(frontier)
             break
-        rows = expand(edges, entities, spark.createDataFrame([(f,) for f in frontier], "from_id string"), budget.fanout, as_of, types, derived).persist()
+        rows = expand(edges, entities, F.broadcast(spark.createDataFrame([(f,) for f in frontier], "from_id string")), budget.fanout, as_of, types, derived).persist()
         visited = F.broadcast(spark.createDataFrame([(v,) for v in seen], "to_id string"))
         best = F.min(F.struct("from_id", "rn", "entity_type", "display_name", "target_degree")).alias("b")
         fresh = rows.join(visited, "to_id", "left_anti").groupBy("to_id").agg(best).orderBy("b.from_id", "b.rn", "to_id")

@@ -23,6 +23,7 @@ def co_located(relationships: DataFrame, entities: DataFrame, companies: DataFra
     spark = relationships.sparkSession
     here = spark.createDataFrame([(entity,)], "address_id string") if is_address else current_address(relationships, entity).select("address_id")
     live = relationships.filter(known() & (F.col("relationship_type") == "registered_at") & (F.col("source_id") != entity))
+    # One row at most.
     at = live.join(F.broadcast(here), live["target_id"] == here["address_id"])
     out = at.join(entities.filter("merged_into_id is null").withColumnRenamed("id", "eid"), F.col("source_id") == F.col("eid"))
     out = out.join(companies, F.col("eid") == companies["entity_id"], "left")
@@ -57,6 +58,7 @@ def relationships_page(edges: DataFrame, entities: DataFrame, provenance: DataFr
     mine = mine.join(entities.filter("merged_into_id is null").select(F.col("id").alias("to_id"), F.col("entity_type").alias("other_type"), F.col("display_name").alias("other_name")), "to_id")
     order = [F.col("valid_to").isNull().desc(), F.col("valid_from").desc_nulls_last(), F.col("id")]
     page = mine.orderBy(*order).offset(offset).limit(limit)
+    # A page has `limit` rows at most.
     wanted = provenance.join(F.broadcast(page.select(F.col("id").alias("relationship_id"))), "relationship_id", "left_semi")
     sources = wanted.join(documents.select(F.col("id").alias("document_id"), "source", "external_id"), "document_id")
     told = sources.groupBy("relationship_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("/", "source", "external_id"))), ",").alias("provenance"))

@@ -20,10 +20,17 @@ def tables(spark, sf_dir):
 
 def graph_level1(spark, sf_dir):
     edges, entities = tables(spark, sf_dir)
-    rows = G.expand(edges, entities, spark.createDataFrame([(ROOT,)], "from_id string"), 25, DAY)
+    rows = G.expand(edges, entities, F.broadcast(spark.createDataFrame([(ROOT,)], "from_id string")), 25, DAY)
     return rows.select("id", "from_id", "to_id", "direction", "relationship_type", "valid_from", "valid_to", "confidence", F.col("rn").cast("long"), "matched_degree", "entity_type", "display_name")
 
 
+def graph_level1_all(spark, sf_dir):
+    """The first level around every live entity: one rank over all edges, no look-up for each."""
+    edges, entities = tables(spark, sf_dir)
+    rows = G.expand(edges, entities, entities.filter("merged_into_id is null").select(F.col("id").alias("from_id")), 25, DAY)
+    return rows.select("id", "from_id", "to_id", F.col("rn").cast("long"), "matched_degree")
+
+
 VALID = f"(valid_from IS NULL OR valid_from <= DATE '{DAY}') AND (valid_to IS NULL OR valid_to >= DATE '{DAY}')"
 
 
@@ -120,6 +127,7 @@ def contract_days(spark, sf_dir):
 
 QUERIES = {
     "graph_level1": (graph_level1, LEVEL1),
+    "graph_level1_all": (graph_level1_all, with_views(f"""WITH {_level("SELECT id FROM entities WHERE merged_into_id IS NULL", 25, 'a')} SELECT id, from_id, to_id, rn, matched_degree FROM a""")),
     "graph_depth2_nodes": (graph_depth2_nodes, with_views(DEPTH2 + "SELECT id, entity_type, display_name, degree, level, truncated_expansion FROM nodes WHERE id NOT IN (SELECT id FROM gone)")),
     "graph_depth2_edges": (graph_depth2_edges, with_views(DEPTH2 + "SELECT * FROM edges WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)")),
     "graph_depth2_meta": (graph_depth2_meta, with_views(DEPTH2 + f"""SELECT '{ROOT}' AS root, 2 AS depth,
