@@ -155,14 +155,16 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
     """A model from labelled documents that are not held out; see SAMPLE for its bound.
 
-    Null labels and ids, and documents labelled both ways, are left out.
+    Null labels and ids, and documents labelled both ways, are left out; of the
+    texts of a repeated id the smallest is read.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
     known = known.filter("low = high").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("low").alias("toxic"))
     some = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, sample[0]), (0, sample[1]))]
     picked = some[0].union(some[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    # Of a repeated id one text: no more texts come to the driver than SAMPLE says.
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
