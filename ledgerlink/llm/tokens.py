@@ -26,7 +26,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 #: Tokens of a sequence; the id that ends a document and fills the last sequence of a stream.
 LENGTH, END = 1024, 50256
 #: Sequences of a shard file.
-SHARD_SLOTS = 32768
+SHARD_SLOTS = 16384
 #: Bytes of text to a stream: what one task lays end to end.
 STREAM_BYTES = 32 << 20
 #: Sequences compressed together; packs dealt at once; tokens a task holds before it passes them on.
@@ -116,8 +116,6 @@ def _laid(length: int, end: int):
         import pyarrow as pa
         import zstandard
 
-        from ledgerlink.llm.chars import slices
-
         pack, unpack = zstandard.ZstdCompressor(6), zstandard.ZstdDecompressor()
         for t, bounds in grouped(batches, ["stream"]):
             for s, e in zip(bounds[:-1], bounds[1:]):
@@ -126,7 +124,7 @@ def _laid(length: int, end: int):
                 at = np.cumsum(docs[:, 3]) - docs[:, 3]
                 order = np.lexsort((docs[:, 3], docs[:, 2], docs[:, 1], docs[:, 0]))
                 docs, at = docs[order], at[order]
-                flow = slices(flow, at, docs[:, 3])
+                flow = np.concatenate([flow[i : i + m] for i, m in zip(at.tolist(), docs[:, 3].tolist())])
                 n = -(-len(flow) // length)
                 flow = np.append(flow, np.full(n * length - len(flow), end, np.uint16))
                 stop = np.cumsum(docs[:, 3])
